@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from threadloom.functions import constants as C
 
@@ -34,7 +35,7 @@ def _single_spaces(text: Column) -> Column:
     return F.regexp_replace(text, " {2,}", " ")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape_all(text: pd.Series) -> pd.Series:
     """All named and numeric HTML entities; Spark has no such function."""
     return text.map(html.unescape, na_action="ignore")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from suite import sqltext as S
 from threadloom.functions.text import search_text, search_tokens
 from threadloom.functions.vectors import as_doubles
+from threadloom.sources.tables import balanced
 from threadloom.operators.embed import mean_vectors, weighted_words
 from threadloom.operators.tfidf import term_idf
 from threadloom.plans.answers import question_vectors as vectors_of_questions
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, spread over the cores when their file is read as one split."""
+    return balanced(table(spark, sf, "documents"))
+
+
 # --- DataFrames -----------------------------------------------------------------------------------
 
 def posts(spark, sf):
@@ -105,7 +111,7 @@ def predicted(spark, sf):
 
 def _word_slots(spark, sf):
     """Every search word of the documents with a hash slot out of four times the number of vectors."""
-    words = table(spark, sf, "documents").select(F.explode(search_tokens(F.col("text"))).alias("word")).distinct()
+    words = texts(spark, sf).select(F.explode(search_tokens(F.col("text"))).alias("word")).distinct()
     n = table(spark, sf, "embeddings").select(F.count(F.lit(1)).alias("n")).scalar()
     slot = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % (4 * n)
     return words.select("word", slot.alias("slot")), n
@@ -126,7 +132,7 @@ def spare_vectors(spark, sf):
 
 
 def idf(spark, sf):
-    docs = table(spark, sf, "documents").select(search_text(F.col("text")).alias("text"))
+    docs = texts(spark, sf).select(search_text(F.col("text")).alias("text"))
     return term_idf(docs, "text", min_df=2)
 
 

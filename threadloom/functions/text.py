@@ -57,6 +57,11 @@ def without_markup(text: Column) -> Column:
 
 # --- search form ----------------------------------------------------------------------------------
 
+def search_literals(text: Column) -> Column:
+    """The literal replacements of the search form, in their order."""
+    return _swap(text, C.SEARCH_REPLACEMENTS)
+
+
 def search_tokens(text: Column, literals: bool = True) -> Column:
     """Lower-case words without punctuation and stop words, repeats kept.
 
@@ -65,7 +70,7 @@ def search_tokens(text: Column, literals: bool = True) -> Column:
     """
     text = F.lower(text)
     if literals:
-        text = _swap(text, C.SEARCH_REPLACEMENTS)
+        text = search_literals(text)
     text = F.regexp_replace(text, C.SPACED_PUNCTUATION, " ")
     text = F.regexp_replace(text, C.DELETED_SYMBOLS, "")
     return F.filter(F.split(text, " "), lambda w: (w != "") & ~w.isin(C.STOP_WORDS))

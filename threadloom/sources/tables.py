@@ -27,6 +27,15 @@ def scan(spark: SparkSession, path: str, *columns: str, where: Column | None = N
     return table.select(*columns) if columns else table
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a table that is read in fewer splits than there are cores, such as one small file.
+
+    A table with enough splits stays as it is, so nothing large is shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def create_table(spark: SparkSession, path: str, schema: T.StructType = POSTS) -> None:
     """An empty table at ``path`` unless one is there."""
     spark.createDataFrame([], schema).write.mode("ignore").parquet(path)

@@ -107,10 +107,18 @@ def word_tokens(expr: str) -> str:
     return f"regexp_extract_all({expr}, {lit('[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_' + C.SPACE_CLASS[1:])})"
 
 
-def char_grams(expr: str) -> str:
-    """One row per gram: to be used in a SELECT list."""
-    clean = gsub(f"lower({expr})", C.SPACE_CLASS + "{2,}", " ")
-    return clean
+def grams_cte(name: str, keys: str, source: str, text: str) -> str:
+    """CTEs ending in ``name``(keys, gram): every character 1- to 5-gram, one row each.
+
+    Single characters with their followers; cutting substrings by position is quadratic in a text.
+    """
+    clean = gsub(f"lower({text})", C.SPACE_CLASS + "{2,}", " ")
+    leads = ", ".join(f"lead(c, {i}) OVER w AS c{i}" for i in range(1, 5))
+    forms = ["c", *("c || " + " || ".join(f"c{i}" for i in range(1, n)) for n in range(2, 6))]
+    unions = " UNION ALL ".join(f"SELECT {keys}, {form} AS gram FROM {name}_lead" for form in forms)
+    return f"""{name}_chars AS (SELECT {keys}, unnest(c) AS c, generate_subscripts(c, 1) AS spot FROM (SELECT {keys}, string_split({clean}, '') AS c FROM {source})),
+{name}_lead AS (SELECT {keys}, c, {leads} FROM {name}_chars WINDOW w AS (PARTITION BY {keys} ORDER BY spot)),
+{name} AS (SELECT {keys}, gram FROM ({unions}) WHERE gram IS NOT NULL AND gram <> '')"""
 
 
 def r6(expr: str, digits: int = 6) -> str:

@@ -122,8 +122,8 @@ def a10(spark, sf):
     return _vocabulary(spark, sf).withColumn("idx", F.col("idx").cast("bigint"))
 
 
-IDS = f"""{VOCAB}, flat AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS at FROM vt),
-ids AS (SELECT doc_id, list(coalesce(idx, 0) ORDER BY at) AS ids FROM flat LEFT JOIN vocab USING (token) GROUP BY doc_id)"""
+IDS = f"""{VOCAB}, flat AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS spot FROM vt),
+ids AS (SELECT doc_id, list(coalesce(idx, 0) ORDER BY spot) AS ids FROM flat LEFT JOIN vocab USING (token) GROUP BY doc_id)"""
 
 
 @query("t16_numericalised", f"WITH {IDS} SELECT doc_id, array_to_string(ids, ' ') AS ids FROM ids")
@@ -161,10 +161,7 @@ def t19(spark, sf):
     return top_k(scored, ["qid"], [F.desc("score"), F.asc("pos")], 3)
 
 
-@query("t20_char_ngrams", f"""WITH clean AS (SELECT doc_id, {S.char_grams("text")} AS t FROM documents),
-chars AS (SELECT doc_id, string_split(t, '') AS c FROM clean),
-grams AS (SELECT unnest(list_transform(range(1, len(c) - n + 2), lambda i: array_to_string(c[i : i + n - 1], ''))) AS gram FROM chars, (SELECT unnest(range(1, 6)) AS n))
-SELECT gram, count(*) AS n FROM grams GROUP BY gram""")
+@query("t20_char_ngrams", f"""WITH {S.grams_cte("g", "doc_id", "documents", "text")} SELECT gram, count(*) AS n FROM g GROUP BY gram""")
 def t20(spark, sf):
     grams = V.texts(spark, sf).select(F.explode(T.char_ngrams(F.col("text"))).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n"))

@@ -119,9 +119,10 @@ def training_text(text: Column, entities: str = "all") -> Column:
     """The form used for question/answer training pairs.
 
     A line that holds a slash is emptied; ``.`` is spelled ``[^\\n]`` because Java's dot also stops
-    at a carriage return.
+    at a carriage return. Matches may only begin at a line start, which keeps lines without a slash
+    from being scanned once per character.
     """
-    text = F.regexp_replace(without_markup(text), r"[^\n]*/[^\n]*", "")
+    text = F.regexp_replace(without_markup(text), r"(?<![^\n])[^\n]*/[^\n]*", "")
     text = _swap(text, _STORED)
     text = _swap(text, (("(", " ( "), ("[", "[ "), ("->", " -> "), ("<", ""), (">", "")))
     return _single_spaces(strip(_unescape(strip(text), entities)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from suite import sqltext as S
 from threadloom.functions.text import search_text, search_tokens
 from threadloom.functions.vectors import as_doubles
+from threadloom.session import written
 from threadloom.sources.tables import balanced
 from threadloom.operators.embed import mean_vectors, weighted_words
 from threadloom.operators.tfidf import term_idf
@@ -33,6 +34,25 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return balanced(table(spark, sf, "documents"))
 
 
+_PREPARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def prepared(build):
+    """Build a table once per session and read it back afterwards, as a search engine keeps its index.
+
+    ``build`` itself stays reachable as ``.build`` for queries that are about the building.
+    """
+
+    def get(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, build.__name__)
+        if key not in _PREPARED:
+            _PREPARED[key] = written(build(spark, sf), build.__name__)
+        return _PREPARED[key]
+
+    get.build = build
+    return get
+
+
 # --- DataFrames -----------------------------------------------------------------------------------
 
 def posts(spark, sf):
@@ -117,6 +137,7 @@ def _word_slots(spark, sf):
     return words.select("word", slot.alias("slot")), n
 
 
+@prepared
 def word_vectors(spark, sf):
     """The words of the first quarter of the slots have a vector."""
     slots, _ = _word_slots(spark, sf)
@@ -124,6 +145,7 @@ def word_vectors(spark, sf):
     return slots.join(vectors, "slot").select("word", "vec")
 
 
+@prepared
 def spare_vectors(spark, sf):
     """The words of the second quarter have one in the auxiliary table only."""
     slots, n = _word_slots(spark, sf)
@@ -131,11 +153,13 @@ def spare_vectors(spark, sf):
     return slots.withColumn("slot", F.col("slot") - n).join(vectors, "slot").select("word", "vec")
 
 
+@prepared
 def idf(spark, sf):
     docs = texts(spark, sf).select(search_text(F.col("text")).alias("text"))
     return term_idf(docs, "text", min_df=2)
 
 
+@prepared
 def thread_vectors(spark, sf):
     lang = F.regexp_extract("tags", "^<([^>]*)>", 1)
     return vectors_of_threads(posts(spark, sf), "comment", lang, word_vectors(spark, sf), idf(spark, sf), DIM)
@@ -151,6 +175,7 @@ def labelled_vectors(spark, sf):
     )
 
 
+@prepared
 def title_vectors(spark, sf):
     asked = posts(spark, sf).where("parent_id is null")
     cleaned = asked.select(
@@ -202,9 +227,9 @@ def sql_mean(name: str, keys: str, texts: str, tokens: str, words: str) -> str:
     join = " AND ".join(f"b.{k} = v.{k}" for k in on)
     return f"""{name}_tok AS (SELECT {keys}, unnest({tokens}) AS word FROM {texts}),
 {name}_hit AS (SELECT {", ".join("t." + k for k in on)}, w.vec, w.weight FROM {name}_tok t JOIN {words} w ON t.word = w.word),
-{name}_sum AS (SELECT {keys}, pos, sum(v * weight) / count(*) AS x FROM (
-  SELECT {keys}, weight, unnest(vec) AS v, generate_subscripts(vec, 1) AS pos FROM {name}_hit) GROUP BY {keys}, pos),
-{name}_vec AS (SELECT {keys}, list(x ORDER BY pos) AS vec FROM {name}_sum GROUP BY {keys}),
+{name}_sum AS (SELECT {keys}, elt, sum(v * weight) / count(*) AS x FROM (
+  SELECT {keys}, weight, unnest(vec) AS v, generate_subscripts(vec, 1) AS elt FROM {name}_hit) GROUP BY {keys}, elt),
+{name}_vec AS (SELECT {keys}, list(x ORDER BY elt) AS vec FROM {name}_sum GROUP BY {keys}),
 {name} AS (SELECT {", ".join("b." + k for k in on)}, coalesce(v.vec, {zeros}) AS vec FROM {texts} b LEFT JOIN {name}_vec v ON {join})"""
 
 

@@ -414,12 +414,12 @@ weighed AS (SELECT s.qid, s.comment_id, s.distances, (1 - d) * 0.92 + t1 * 0.74
   FROM scaled s JOIN predicted p ON s.qid = p.qid)"""
 
 
-@query("p05_answers", f"""WITH {WEIGHED}, {LISTS} SELECT qid, comment_id, distances, round(weight, 4) AS final_weight, combined FROM weighed JOIN lists ON parent_id = comment_id""")
+@query("p05_answers", f"""WITH {WEIGHED}, {LISTS} SELECT qid, comment_id, distances, round(weight, 6) AS final_weight, combined FROM weighed JOIN lists ON parent_id = comment_id""")
 def p05(spark, sf):
     found = Q.answer_questions(
         V.predicted(spark, sf), V.posts(spark, sf), V.thread_vectors(spark, sf), V.word_vectors(spark, sf), V.idf(spark, sf), V.DIM)
     return found.select(
-        "qid", "comment_id", "distances", F.round("final_weight", 4).alias("final_weight"),
+        "qid", "comment_id", "distances", "final_weight",
         F.array_join("combined_comments", "\n--").alias("combined"))
 
 

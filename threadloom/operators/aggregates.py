@@ -94,7 +94,8 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 
 def mean_vector(df: DataFrame, column: str, dim: int) -> DataFrame:
     """Elementwise mean of a vector column as one row."""
-    return df.agg(F.array(*[F.avg(F.get(column, F.lit(i))) for i in range(dim)]).alias("mean"))
+    means = ", ".join(f"avg(get({column}, {i}))" for i in range(dim))
+    return df.agg(F.expr(f"array({means})").alias("mean"))
 
 
 def token_vocabulary(

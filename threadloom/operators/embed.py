@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import whitespace_tokens
+from threadloom.operators.aggregates import mean_vector
 from threadloom.operators.neighbours import nearest
 
 
@@ -43,15 +44,13 @@ def mean_vectors(
     """Mean of ``weight * vec`` over the tokens that have a vector; zeros if none has.
 
     ``words`` comes from :func:`weighted_words`. One plain sum per dimension keeps the aggregate
-    buffer flat.
+    buffer flat; it is written as SQL text because building hundreds of Column objects costs more
+    than the query.
     """
     joined = text_tokens(texts, keys, text).join(words, "word", "left")
-    found = F.greatest(F.count("vec"), F.lit(1))
-    entry = [
-        F.coalesce(F.sum(F.get("vec", F.lit(i)) * F.col("weight")), F.lit(0.0)).alias(f"_{i}") for i in range(dim)
-    ]
-    sums = joined.groupBy(*keys).agg(found.alias("_found"), *entry)
-    return sums.select(*keys, F.array(*[F.col(f"_{i}") / F.col("_found") for i in range(dim)]).alias(name))
+    sums = ", ".join(f"sum(get(vec, {i}) * weight)" for i in range(dim))
+    mean = f"transform(array({sums}), s -> coalesce(s, 0D) / greatest(count(vec), 1))"
+    return joined.groupBy(*keys).agg(F.expr(mean).alias(name))
 
 
 def average_vectors(texts: DataFrame, keys: Sequence[str], text: str, words: DataFrame, dim: int) -> DataFrame:
@@ -104,8 +103,6 @@ def idf_vectors_with_fallback(
 
 def aligned_vectors(vocabulary: DataFrame, pretrained: DataFrame, dim: int) -> DataFrame:
     """Pretrained vector of each vocabulary word, or the mean of all pretrained rows."""
-    means: Column = (
-        pretrained.agg(F.array(*[F.avg(F.get("vec", F.lit(i))) for i in range(dim)]).alias("mean")).scalar()
-    )
+    means = mean_vector(pretrained, "vec", dim).scalar()
     joined = vocabulary.join(pretrained.select(F.col("word").alias("token"), "vec"), "token", "left")
     return joined.withColumn("vec", F.coalesce("vec", means))

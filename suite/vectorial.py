@@ -164,9 +164,8 @@ scored AS (SELECT a.qid, b.pos, {S.r6(COS)} AS score FROM av a JOIN cv b ON a.qi
 FIRST_RANKS = "ranks AS (SELECT t.qid, 1 + sum(CASE WHEN s.score > t.score THEN 1 ELSE 0 END) AS rank FROM scored t JOIN scored s ON t.qid = s.qid WHERE t.pos = 0 GROUP BY t.qid)"
 
 
-def _cases(spark, sf):
-    cases = V.cases(spark, sf)
-    return cases.select("qid", search_text(F.col("question")).alias("question"), F.transform("cands", search_text).alias("cands"))
+def _scores(spark, sf):
+    return Q.candidate_scores(V.cases(spark, sf), _vectoriser(spark, sf), search_text)
 
 
 def _vectoriser(spark, sf):
@@ -176,18 +175,18 @@ def _vectoriser(spark, sf):
 
 @query("j15_candidate_scores", f"WITH {CASE_SCORES} SELECT qid, pos, score FROM scored")
 def j15(spark, sf):
-    return Q.candidate_scores(_cases(spark, sf), _vectoriser(spark, sf)).withColumn("pos", F.col("pos").cast("bigint"))
+    return _scores(spark, sf).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("v09_ranked_candidates", f"WITH {CASE_SCORES} SELECT qid, pos, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS rank FROM scored")
 def v09(spark, sf):
-    ranked = R.ranked_candidates(Q.candidate_scores(_cases(spark, sf), _vectoriser(spark, sf)))
+    ranked = R.ranked_candidates(_scores(spark, sf))
     return ranked.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("w02_rank_of_first", f"WITH {CASE_SCORES}, {FIRST_RANKS} SELECT qid, rank::BIGINT AS rank FROM ranks")
 def w02(spark, sf):
-    return R.rank_of_first(Q.candidate_scores(_cases(spark, sf), _vectoriser(spark, sf)))
+    return R.rank_of_first(_scores(spark, sf))
 
 
 DEPTHS = "(SELECT unnest([1, 5, 10, 100, 500, 1000]) AS k)"
@@ -195,20 +194,20 @@ DEPTHS = "(SELECT unnest([1, 5, 10, 100, 500, 1000]) AS k)"
 
 @query("a16_hits", f"WITH {CASE_SCORES}, {FIRST_RANKS} SELECT k, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0 END), 6) AS hits FROM ranks, {DEPTHS} GROUP BY k")
 def a16(spark, sf):
-    ranks = R.rank_of_first(Q.candidate_scores(_cases(spark, sf), _vectoriser(spark, sf)))
+    ranks = R.rank_of_first(_scores(spark, sf))
     return M.ranking_metrics(ranks).select("k", F.round("hits", 6).alias("hits"))
 
 
 @query("a17_dcg", f"WITH {CASE_SCORES}, {FIRST_RANKS} SELECT k, round(sum(CASE WHEN rank <= k THEN 1 / log2(1 + rank) ELSE 0 END) / count(*), 6) AS dcg FROM ranks, {DEPTHS} GROUP BY k")
 def a17(spark, sf):
-    ranks = R.rank_of_first(Q.candidate_scores(_cases(spark, sf), _vectoriser(spark, sf)))
+    ranks = R.rank_of_first(_scores(spark, sf))
     return M.ranking_metrics(ranks).select("k", F.round("dcg", 6).alias("dcg"))
 
 
 @query("p06_evaluation", f"""WITH {CASE_SCORES}, {FIRST_RANKS} SELECT k, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0 END), 6) AS hits,
 round(sum(CASE WHEN rank <= k THEN 1 / log2(1 + rank) ELSE 0 END) / count(*), 6) AS dcg FROM ranks, {DEPTHS} GROUP BY k""")
 def p06(spark, sf):
-    out = Q.evaluate_ranking(_cases(spark, sf), _vectoriser(spark, sf))
+    out = Q.evaluate_ranking(V.cases(spark, sf), _vectoriser(spark, sf), clean=search_text)
     return out.select("k", F.round("hits", 6).alias("hits"), F.round("dcg", 6).alias("dcg"))
 
 

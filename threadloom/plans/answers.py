@@ -76,23 +76,28 @@ def answer_topic_questions(
     return found_answers(neighbours, posts)
 
 
+Vectoriser = Callable[[DataFrame, list[str], str], DataFrame]
+
+
 def candidate_scores(
-    cases: DataFrame, vectorise: Callable[[DataFrame, list[str], str], DataFrame], decimals: int = 6
+    cases: DataFrame, vectorise: Vectoriser, clean: Callable[[Column], Column] | None = None, decimals: int = 6
 ) -> DataFrame:
     """(qid, pos, score): cosine of each candidate and its question.
 
     ``cases`` is (qid, question, cands array); ``vectorise(texts, keys, column)`` is any of the text
-    vector functions with its tables bound.
+    vector functions with its tables bound; ``clean`` is applied to each text first. Candidates are
+    placed one by one before they are cleaned, so the many of one question spread out.
     """
-    asked = vectorise(cases.select("qid", "question"), ["qid"], "question").withColumnRenamed("vec", "q_vec")
-    spread = cases.select("qid", F.posexplode("cands").alias("pos", "cand"))
-    offered = vectorise(spread, ["qid", "pos"], "cand")
-    pairs = offered.join(asked, "qid")
+    clean = clean or (lambda text: text)
+    asked = cases.select("qid", clean(F.col("question")).alias("question"))
+    spread = cases.select("qid", F.posexplode("cands").alias("pos", "cand")).repartition("qid", "pos")
+    offered = vectorise(spread.select("qid", "pos", clean(F.col("cand")).alias("cand")), ["qid", "pos"], "cand")
+    pairs = offered.join(vectorise(asked, ["qid"], "question").withColumnRenamed("vec", "q_vec"), "qid")
     return pairs.select("qid", "pos", F.round(cosine(F.col("q_vec"), F.col("vec")), decimals).alias("score"))
 
 
 def evaluate_ranking(
-    cases: DataFrame, vectorise: Callable[[DataFrame, list[str], str], DataFrame], depths=C.EVALUATION_DEPTHS
+    cases: DataFrame, vectorise: Vectoriser, depths=C.EVALUATION_DEPTHS, clean: Callable[[Column], Column] | None = None
 ) -> DataFrame:
     """(k, hits, dcg) of the true candidate (position 0) over all cases."""
-    return ranking_metrics(rank_of_first(candidate_scores(cases, vectorise)), depths)
+    return ranking_metrics(rank_of_first(candidate_scores(cases, vectorise, clean)), depths)

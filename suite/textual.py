@@ -13,6 +13,7 @@ from threadloom.operators.aggregates import token_vocabulary
 from threadloom.operators.encode import numericalised, padded_sequences
 from threadloom.operators.models import canonical_tags, rare_as_other
 from threadloom.operators.ranking import top_k
+from threadloom.session import placed
 
 
 def _register(name, table, key, column, spark_form, sql_form):
@@ -155,7 +156,7 @@ SIMILARITY = "CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - lev
 scored AS (SELECT qid, pos, round({SIMILARITY}, 6) AS score FROM pairs)
 SELECT qid, pos, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS rank FROM scored) WHERE rank <= 3""")
 def t19(spark, sf):
-    spread = V.cases(spark, sf).select("qid", "question", F.posexplode("cands").alias("pos", "cand")).repartition("qid", "pos")
+    spread = placed(V.cases(spark, sf).select("qid", "question", F.posexplode("cands").alias("pos", "cand")), "qid", "pos")
     score = T.similarity_by_edits(T.search_text(F.col("cand")), T.search_text(F.col("question")))
     scored = spread.select("qid", F.col("pos").cast("bigint").alias("pos"), F.round(score, 6).alias("score"))
     return top_k(scored, ["qid"], [F.desc("score"), F.asc("pos")], 3)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import padded
+from threadloom.session import placed
 
 
 def numericalised(docs: DataFrame, key: str, tokens: str, vocabulary: DataFrame, unknown: int = 0) -> DataFrame:
@@ -15,8 +16,7 @@ def numericalised(docs: DataFrame, key: str, tokens: str, vocabulary: DataFrame,
     as long as Spark's size check lets the vocabulary be broadcast; otherwise tokens are shuffled
     for the join, with hot tokens split by adaptive execution.
     """
-    placed = docs.select(key, tokens).repartition(key)
-    spread = placed.select(key, F.posexplode_outer(tokens).alias("at", "token"))
+    spread = placed(docs.select(key, tokens), key).select(key, F.posexplode_outer(tokens).alias("at", "token"))
     known = vocabulary.select("token", "idx")
     numbered = spread.join(known, "token", "left").select(
         key, "at", F.when(F.col("at").isNotNull(), F.coalesce("idx", F.lit(unknown))).alias("idx")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import constants as C
 from threadloom.functions.text import whitespace_tokens
 from threadloom.operators.ranking import top_k
+from threadloom.session import placed
 
 
 def idf_of(df: Column, n: Column) -> Column:
@@ -37,8 +38,7 @@ def term_weights(docs: DataFrame, keys: Sequence[str], text: str, idf: DataFrame
     Texts are partitioned by key before they are taken apart, so counting terms and summing squares
     both find their rows in place.
     """
-    placed = docs.select(*keys, text).repartition(*keys)
-    tokens = placed.select(*keys, F.explode(whitespace_tokens(F.col(text))).alias("term"))
+    tokens = placed(docs.select(*keys, text), *keys).select(*keys, F.explode(whitespace_tokens(F.col(text))).alias("term"))
     counts = tokens.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     weighted = counts.join(idf, "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
     lengths = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))

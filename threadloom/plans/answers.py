@@ -18,7 +18,7 @@ from threadloom.operators.neighbours import nearest
 from threadloom.operators.ranking import rank_of_first
 from threadloom.operators.rerank import all_features, weighed
 from threadloom.operators.selection import askable
-from threadloom.session import written
+from threadloom.session import placed, written
 
 
 def thread_vectors(posts: DataFrame, text: str, tag: Column, words: DataFrame, idf: DataFrame, dim: int) -> DataFrame:
@@ -90,7 +90,7 @@ def candidate_scores(
     """
     clean = clean or (lambda text: text)
     asked = cases.select("qid", clean(F.col("question")).alias("question"))
-    spread = cases.select("qid", F.posexplode("cands").alias("pos", "cand")).repartition("qid", "pos")
+    spread = placed(cases.select("qid", F.posexplode("cands").alias("pos", "cand")), "qid", "pos")
     offered = vectorise(spread.select("qid", "pos", clean(F.col("cand")).alias("cand")), ["qid", "pos"], "cand")
     pairs = offered.join(vectorise(asked, ["qid"], "question").withColumnRenamed("vec", "q_vec"), "qid")
     return pairs.select("qid", "pos", F.round(cosine(F.col("q_vec"), F.col("vec")), decimals).alias("score"))

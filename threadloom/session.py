@@ -56,3 +56,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def placed(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows placed by key over the full number of shuffle partitions.
+
+    The number is given, so adaptive execution does not merge partitions by their size: a few
+    megabytes of text become gigabytes once taken apart into grams.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -313,8 +313,8 @@ def j13(spark, sf):
 
 # --- features and answers -------------------------------------------------------------------------
 
-def features_sql(text: str) -> str:
-    """CTEs ending in f_<text>(qid, comment_id, tfidf, ngram, combo), from cand and question_texts.
+def features_sql(text: str, asked_texts: str = "question_texts") -> str:
+    """CTEs ending in f_<text>(qid, comment_id, tfidf, ngram, combo), from cand and the questions.
 
     Centred products are written out as q.x - m.x - q.m + m.m.
     """
@@ -330,11 +330,11 @@ def features_sql(text: str) -> str:
 {p}t AS (SELECT qid, comment_id, term, count(*)::DOUBLE AS c FROM (SELECT qid, comment_id, unnest({words}) AS term FROM cand) GROUP BY ALL),
 {p}v AS (SELECT qid, term, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT qid, term, count(*)::DOUBLE AS df FROM {p}t GROUP BY ALL) JOIN {p}n USING (qid) WHERE df <= 0.9 * n),
 {p}x AS (SELECT qid, comment_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY qid, comment_id)) AS x FROM (SELECT qid, comment_id, term, c * idf AS w FROM {p}t JOIN {p}v USING (qid, term))),
-{p}qt AS (SELECT qid, term, count(*)::DOUBLE AS c FROM (SELECT qid, unnest({V.WS}) AS term FROM question_texts) GROUP BY ALL),
+{p}qt AS (SELECT qid, term, count(*)::DOUBLE AS c FROM (SELECT qid, unnest({V.WS}) AS term FROM {asked_texts}) GROUP BY ALL),
 {p}qx AS (SELECT qid, term, w / sqrt(sum(w * w) OVER (PARTITION BY qid)) AS q FROM (SELECT qid, term, c * idf AS w FROM {p}qt JOIN {p}v USING (qid, term))),
 {S.grams_cte(p + 'g', 'qid, comment_id', 'cand', text)},
 {p}gt AS (SELECT qid, comment_id, gram AS term, count(*)::DOUBLE AS c FROM {p}g GROUP BY ALL),
-{S.grams_cte(p + 'h', 'qid', 'question_texts', 'text')},
+{S.grams_cte(p + 'h', 'qid', asked_texts, 'text')},
 {p}ht AS (SELECT qid, gram AS term, count(*)::DOUBLE AS q FROM {p}h GROUP BY ALL),
 {p}rt AS (SELECT qid, comment_id, term, c FROM {p}gt JOIN (SELECT qid, term FROM {p}gt JOIN {p}n USING (qid) GROUP BY qid, term HAVING count(*) <= 0.9 * any_value(n)) USING (qid, term)),
 {centred(p + 'cw', p + 'x', p + 'qx', 'x')},
@@ -428,8 +428,8 @@ GRID_SQL = ", ".join(f"({i}, {g['distance']}::DOUBLE, {g['tfidf']}::DOUBLE, {g['
 
 
 @query("v16_weight_search", f"""WITH cand AS (SELECT qid, pos AS comment_id, cand AS title, cand AS comment_parent FROM case_cands),
-question_texts AS (SELECT qid, {S.search_text('question')} AS text FROM turn_pairs),
-{features_sql('title')}, g(setting, wd, wt, wn, wc) AS (VALUES {GRID_SQL}),
+case_questions AS (SELECT qid, {S.search_text('question')} AS text FROM turn_pairs),
+{features_sql('title', 'case_questions')}, g(setting, wd, wt, wn, wc) AS (VALUES {GRID_SQL}),
 raw AS (SELECT qid, comment_id, 0.0 AS d, tfidf AS t1, ngram AS n1, combo AS c1, tfidf AS t2, ngram AS n2, combo AS c2 FROM f_title),
 scaled AS (SELECT qid, comment_id, {SCALE} FROM raw WINDOW w AS (PARTITION BY qid)),
 s AS (SELECT setting, qid, comment_id AS pos, round((1 - d) * wd + 2 * (t1 * wt + n1 * wn + c1 * wc), 6) AS score FROM scaled, g),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import langid
+from threadloom.llm import langid, simhash
 from threadloom.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = langid.fit_profiles(docs, learn=remainder("doc_id", 4) != 2)
     found = langid.identify(docs.select("doc_id", "text"), profiles)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -11,9 +11,9 @@ of their length by rank.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -24,7 +24,7 @@ from threadloom.session import written
 
 SEPARATOR = 0
 #: Words a task remembers; on reaching it, it starts anew, which changes speed only.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 700_000
 
 
 class Ids:
@@ -47,23 +47,31 @@ class Ids:
         self.parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^\s{letters}0-9]+")
         symbols = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.symbols = {c: symbols(chr(c))[0][0] for c in (*range(0xDF, 0xF7), *range(0xF8, 0x100))}
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def _word(self, word: bytes) -> tuple[int, ...]:
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a word as little-endian numbers; a full stop or comma after a letter stands alone."""
+        if word[-1] in b".," and word[-2:-1].isalpha():
+            return self._kept(word[:-1]) + self._kept(word[-1:])
         text = word.decode("utf-8")
         if self.plain.fullmatch(text):
-            parts, symbols = self.parts.findall(text.lower()), self.symbols
-            return tuple(t.id for part in parts for t in self.model.tokenize(part.translate(symbols)))
-        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            model, symbols = self.model, self.symbols
+            ids = [t.id for part in self.parts.findall(text.lower()) for t in model.tokenize(part.translate(symbols))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _kept(self, word: bytes) -> bytes:
+        found = self.known.get(word)
+        if found is None:
+            found = self.known[word] = self._word(word)
+        return found
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8").split()
+        words = (text or "").encode("utf-8").lower().split()
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        known = self.known
-        for word in set(words).difference(known):
-            known[word] = self._word(word)
-        return np.fromiter(chain.from_iterable([known[w] for w in words]), np.uint32)
+        return np.frombuffer(b"".join(map(self._kept, words)), "<u4")
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, text: str = "text", key: str = "doc_id", ids: bool = False) -> DataFrame:

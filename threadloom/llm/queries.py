@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import langid, packing, simhash
+from threadloom.llm import langid, packing, pii, simhash
 from threadloom.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer, capacity=2048)
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = pii.found(docs, pii.fit(docs))
+    counts = [pii.count_of("base", kind).alias(f"n_{kind}") for kind in pii.BASE]
+    return spans.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))

@@ -33,7 +33,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
 }
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 SHAPES = {
     "secret": r"^(?:[0-9a-f]{32,128}|[A-Za-z]{2,6}[_-][A-Za-z0-9]{16,}|[A-Z0-9]{20})$",
     "iban": r"^[A-Z]{2}[0-9]{2}[A-Z]{0,4}[0-9]{7,}$",

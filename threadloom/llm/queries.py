@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import langid, packing, pii, simhash
+from threadloom.llm import langid, packing, pii, simhash, substring
 from threadloom.llm.common import remainder
+from threadloom.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +53,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = pii.found(docs, pii.fit(docs))
     counts = [pii.count_of("base", kind).alias(f"n_{kind}") for kind in pii.BASE]
     return spans.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = written(substring.pieces(table(spark, sf_dir, "documents")), "pieces")
+    return substring.passages(found, min_words=50)

@@ -49,16 +49,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long; one row per input row."""
+    """(doc_id, text_hash, fp) with the fingerprint as a signed long; one row per input row."""
 
     def make() -> Callable:
-        def work(keys: list, texts: list) -> Iterator[tuple]:
-            yield keys, np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+        def work(keys: list, hashes: list, texts: list) -> Iterator[tuple]:
+            yield keys, hashes, np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
 
         return work
 
-    source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return mapped(source, ["doc_id", "text"], [("doc_id", "long"), ("fp", "long")], make)
+    source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return mapped(source, ["doc_id", "text_hash", "text"], [("doc_id", "long"), ("text_hash", "long"), ("fp", "long")], make)
 
 
 def links(distinct: DataFrame, bits: int = 2, segments: int = 16) -> DataFrame:
@@ -110,7 +110,9 @@ def links(distinct: DataFrame, bits: int = 2, segments: int = 16) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 2, segments: int = 16
 ) -> DataFrame:
-    """(doc_id, fp, component_id) per input row: the smallest id reachable over near-duplicate links.
+    """(doc_id, text_hash, fp, root, component_id) per input row: the smallest id reachable over links.
+
+    ``root`` is the smallest fingerprint of the component. Repeated rows are answered each.
 
     Documents without words have fingerprint 0 and link like any other. Rows that repeat an id or a
     text belong to the same component through their fingerprint. A row with a null id takes part and
@@ -122,6 +124,22 @@ def near_duplicates(
     members = smallest_reachable(pairs)  # (node, root) of linked fingerprints only
     linked = members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "first")
     smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
-    found = linked.join(smallest, "root").select(F.col("node").alias("fp"), "smallest")
-    named = written(nodes.join(found, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id")), "components")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    found = linked.join(smallest, "root").select(F.col("node").alias("fp"), "root", "smallest")
+    named = nodes.join(found, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("smallest", "first").alias("component_id")
+    )
+    return marked.join(written(named, "components"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 2) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest id.
+
+    A null id counts as the largest; of repeated rows one stays, and of different texts under the
+    smallest id the one with the smallest hash.
+    """
+    found = near_duplicates(docs, text, key, shingle, bits)
+    best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("n"), "doc_id", "text_hash")).alias("b"))
+    kept = best.select(F.col("b.doc_id").alias("__id"), F.col("b.text_hash").alias("__hash"))
+    hashed = docs.withColumn("__key", F.col(key).cast("bigint")).withColumn("__text_hash", F.xxhash64(text))
+    same = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["__key", "__text_hash"]).select(docs.columns)

@@ -31,6 +31,10 @@ def spark_schema(fields: Fields) -> T.StructType:
     return T.StructType([T.StructField(name, KINDS[kind][0]) for name, kind in fields])
 
 
+def _array(values: Sequence | pa.Array, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
+
+
 def with_computed(
     df: DataFrame, inputs: Sequence[str], fields: Fields, make: Callable[[], Callable[..., Sequence[Sequence]]]
 ) -> DataFrame:
@@ -51,7 +55,7 @@ def with_computed(
         work = make()
         for batch in batches:
             found = work(*[batch.column(where[c]).to_pylist() for c in inputs])
-            made = [pa.array(values, type=KINDS[kind][1]) for values, (_, kind) in zip(found, fields)]
+            made = [_array(values, KINDS[kind][1]) for values, (_, kind) in zip(found, fields)]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(len(kept))], *made], names=[*kept, *names]
             )
@@ -73,7 +77,7 @@ def mapped(
         for batch in batches:
             for found in work(*[batch.column(i).to_pylist() for i in range(len(inputs))]):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values, type=f.type) for values, f in zip(found, schema)], schema=schema
+                    [_array(values, f.type) for values, f in zip(found, schema)], schema=schema
                 )
 
     return df.select(*inputs).mapInArrow(run, spark_schema(fields))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import langid, packing, pii, simhash, substring
+from threadloom.llm import bpe, langid, packing, pii, simhash, substring
 from threadloom.llm.common import remainder
 from threadloom.session import written
 
@@ -59,3 +59,15 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = written(substring.pieces(table(spark, sf_dir, "documents")), "pieces")
     return substring.passages(found, min_words=50)
+
+
+@query
+def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    found = bpe.encoded(table(spark, sf_dir, "documents"), ranks, pattern)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

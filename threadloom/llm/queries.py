@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, langid, packing, pii, simhash, substring
+from threadloom.llm import bpe, langid, licenses, packing, pii, simhash, substring
 from threadloom.llm.common import remainder
 from threadloom.session import written
 
@@ -71,3 +71,11 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = licenses.build_index()
+    found = written(licenses.hits(table(spark, sf_dir, "documents"), index), "hits")
+    marked = licenses.labelled(found, index, licenses.word_idf(found, index))
+    return marked.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

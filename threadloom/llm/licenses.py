@@ -85,21 +85,26 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 @dataclass(frozen=True)
 class Index:
-    """Postings of the templates' telling words, and the phrases to verify."""
+    """Postings of the templates' telling words, the phrases to verify, and the base phrases.
+
+    Every word of a base phrase has postings, so the index alone finds the phrase's places.
+    """
 
     postings: dict[bytes, list[tuple[str, int]]]
     mandatory: dict[str, list[list[bytes]]]
     lengths: dict[str, int]
+    phrases: dict[str, list[bytes]]
 
 
-def build_index(templates: dict[str, tuple[str, Sequence[str]]] = TEMPLATES) -> Index:
-    postings: dict[bytes, list[tuple[str, int]]] = {}
+def build_index(templates: dict[str, tuple[str, Sequence[str]]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> Index:
+    base = {name: phrase.encode().split() for name, phrase in phrases.items()}
+    postings: dict[bytes, list[tuple[str, int]]] = {word: [] for words in base.values() for word in words}
     for name, (text, _) in templates.items():
         for place, word in enumerate(text.encode().split()):
             if word.decode() not in COMMON:
                 postings.setdefault(word, []).append((name, place))
     mandatory = {name: [p.encode().split() for p in phrases] for name, (_, phrases) in templates.items()}
-    return Index(postings, mandatory, {name: len(text.split()) for name, (text, _) in templates.items()})
+    return Index(postings, mandatory, {name: len(text.split()) for name, (text, _) in templates.items()}, base)
 
 
 def starts_of(words: list[bytes], phrase: list[bytes], low: int = 0, high: int | None = None) -> list[int]:
@@ -115,33 +120,30 @@ def starts_of(words: list[bytes], phrase: list[bytes], low: int = 0, high: int |
         at += 1
 
 
-HITS = [("doc_id", "long"), ("n_words", "long"), ("places", "ints"), ("names", "ints"), ("base", "ints"), ("base_at", "ints"), ("verified", "ints"), ("verified_at", "ints")]
+HITS = [("doc_id", "long"), ("n_words", "long"), ("places", "ints"), ("names", "ints"), ("verified", "ints"), ("verified_at", "ints")]
 
 
-def hits(docs: DataFrame, index: Index, phrases: dict[str, str] = PHRASES, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One pass over the texts: where license words, base phrases and mandatory phrases stand.
+def hits(docs: DataFrame, index: Index, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One pass over the texts: where license words and mandatory phrases stand.
 
-    Words are numbered by ``sorted(index.postings)``, base phrases by their order, mandatory phrases
-    by ``_phrases``. Files without such words keep their word count alone.
+    Words are numbered by ``sorted(index.postings)``, mandatory phrases by ``_phrases``. Files without
+    license words keep their word count alone. Null and empty texts have no words.
     """
     numbers = {word: i for i, word in enumerate(sorted(index.postings))}
-    base = [p.encode().split() for p in phrases.values()]
     needed = _phrases(index)
 
     def make() -> Callable:
         rare = frozenset(numbers)
-        telling = rare | {p[0] for p in base}
 
         def work(keys: list, texts: list) -> Iterator[tuple]:
             rows = []
             for k, t in zip(keys, texts):
                 words = WORD.findall((t or "").encode("utf-8", "surrogatepass").lower())
-                row: tuple = (k, len(words), [], [], [], [], [], [])
-                if not telling.isdisjoint(words):
+                row: tuple = (k, len(words), [], [], [], [])
+                if not rare.isdisjoint(words):
                     places = [i for i, w in enumerate(words) if w in rare]
-                    own = [(n, at) for n, p in enumerate(base) for at in starts_of(words, p)]
                     kept = [(n, at) for n, p in enumerate(needed) for at in starts_of(words, p)]
-                    row = (k, len(words), places, [numbers[words[i]] for i in places], *_columns(own), *_columns(kept))
+                    row = (k, len(words), places, [numbers[words[i]] for i in places], [n for n, _ in kept], [at for _, at in kept])
                 rows.append(row)
             yield tuple(zip(*rows)) if rows else ((),) * len(HITS)
 
@@ -151,10 +153,6 @@ def hits(docs: DataFrame, index: Index, phrases: dict[str, str] = PHRASES, text:
     return mapped(source, ["doc_id", "text"], HITS, make)
 
 
-def _columns(pairs: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    return [n for n, _ in pairs], [at for _, at in pairs]
-
-
 def _phrases(index: Index) -> list[list[bytes]]:
     return [list(p) for p in sorted({tuple(p) for phrases in index.mandatory.values() for p in phrases})]
 
@@ -168,21 +166,34 @@ def word_idf(found: DataFrame, index: Index) -> dict[int, float]:
 
 
 def labelled(
-    found: DataFrame, index: Index, idf: dict[int, float], phrases: dict[str, str] = PHRASES, rarest: int = 16, share: float = 0.5
+    found: DataFrame, index: Index, idf: dict[int, float], rarest: int = 16, share: float = 0.5
 ) -> DataFrame:
     """``found`` (``hits``) with base_labels, labels, first_word, last_word, n_base and score.
 
     The ``rarest`` license words of a file by IDF (ties: the earlier template word; every place of
     them counts) vote for template starts, weighted by IDF. A start with at least ``share`` of the
     IDF of its template's telling words among them is a candidate; the template is a label if all its
-    mandatory phrases start within its length around there. The score is the best candidate's share,
-    1 if a base phrase stands in the file, 0 without a label.
+    mandatory phrases start within its length around there. Base phrases are looked up by their rarest
+    word; a place counts if the postings of all words agree on it. The score is the best candidate's
+    share, 1 if a base phrase stands in the file, 0 without a label.
     """
     words = sorted(index.postings)
     postings = [index.postings[w] for w in words]
     needed = _phrases(index)
     must = {name: [needed.index(p) for p in map(list, phrases_)] for name, phrases_ in index.mandatory.items()}
-    names = list(phrases)
+    base = {name: [words.index(w) for w in phrase] for name, phrase in index.phrases.items()}
+    rarest_of = {name: max(range(len(p)), key=lambda j: (idf[p[j]], -j)) for name, p in base.items()}
+
+    def phrase_places(places: list[int], numbers: list[int]) -> list[tuple[str, int]]:
+        at_of: dict[int, set[int]] = {}
+        for at, n in zip(places, numbers):
+            at_of.setdefault(n, set()).add(at)
+        out = []
+        for name, phrase in base.items():
+            if all(n in at_of for n in phrase):
+                starts = [at - rarest_of[name] for at in at_of[phrase[rarest_of[name]]]]
+                out += [(name, s) for s in starts if all(s + j in at_of[n] for j, n in enumerate(phrase))]
+        return out
 
     def candidates(places: list[int], numbers: list[int]) -> dict[tuple[str, int], float]:
         chosen = set(sorted(set(numbers), key=lambda i: (-idf[i], i))[:rarest])
@@ -198,8 +209,9 @@ def labelled(
         return {key: w / full[key[0]] for key, w in weight.items() if full[key[0]] > 0 and w >= share * full[key[0]]}
 
     def make() -> Callable:
-        def label(places: list, numbers: list, base: list, base_at: list, kept: list, kept_at: list) -> tuple:
-            own = sorted({names[n] for n in base})
+        def label(places: list, numbers: list, kept: list, kept_at: list) -> tuple:
+            found_at = phrase_places(places, numbers)
+            base_at, own = [at for _, at in found_at], sorted({name for name, _ in found_at})
             more, best = set(own), 1.0 if own else 0.0
             if kept:
                 for (name, start), part in candidates(places, numbers).items():
@@ -217,4 +229,4 @@ def labelled(
         return work
 
     result = [("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"), ("score", "double")]
-    return with_computed(found, ["places", "names", "base", "base_at", "verified", "verified_at"], result, make)
+    return with_computed(found, ["places", "names", "verified", "verified_at"], result, make)

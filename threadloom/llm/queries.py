@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, langid, licenses, packing, pii, simhash, substring
+from threadloom.llm import bpe, langid, licenses, packing, pii, quality, simhash, substring
 from threadloom.llm.common import remainder
 from threadloom.session import written
 
@@ -79,3 +79,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = written(licenses.hits(table(spark, sf_dir, "documents"), index), "hits")
     marked = licenses.labelled(found, index, licenses.word_idf(found, index))
     return marked.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=remainder("doc_id", 5) != 0)
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    predicted = (F.col("score") >= 0.3).cast("int")
+    return quality.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))

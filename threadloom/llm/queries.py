@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, langid, licenses, packing, pii, quality, simhash, substring
+from threadloom.llm import bpe, langid, licenses, packing, pii, quality, rules, simhash, substring
 from threadloom.llm.common import remainder
 from threadloom.session import written
 
@@ -88,3 +88,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     predicted = (F.col("score") >= 0.3).cast("int")
     return quality.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    counts = written(rules.counted(docs).drop("text"), "counts")
+    cutoffs = written(rules.thresholds(counts, table(spark, sf_dir, "labels"), "lang"), "cutoffs")
+    judged = rules.verdicts(counts, cutoffs, "lang").withColumn("base_failed", rules.base_failed())
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, langid, licenses, packing, pii, quality, rules, simhash, substring
+from threadloom.llm import bpe, langid, licenses, mtree, packing, pii, quality, rules, simhash, substring
 from threadloom.llm.common import remainder
 from threadloom.session import written
 
@@ -97,3 +97,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cutoffs = written(rules.thresholds(counts, table(spark, sf_dir, "labels"), "lang"), "cutoffs")
     judged = rules.verdicts(counts, cutoffs, "lang").withColumn("base_failed", rules.base_failed())
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)

@@ -103,3 +103,72 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return mtree.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+ORACLES["op3_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+)
+SELECT q.vec_id AS query_id,
+  CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, v.e) DESC, v.vec_id) AS INT) AS rank,
+  v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10
+"""
+
+
+def _rules_sql() -> str:
+    """The rules in SQL: measures, all tests of all cutoffs, and the verdicts."""
+    risk = rules.Risk()
+    measures = ", ".join(
+        f"('{name}', coalesce({formula.replace('/ n_words', '/ nullif(n_words, 0)').replace('/ n_lines', '/ nullif(n_lines, 0)')}, 0.0))"
+        for name, (formula, _) in rules.RULES.items()
+    )
+    cuts = ", ".join(f"('{name}', CAST({cut} AS DOUBLE))" for name, (_, values) in rules.RULES.items() for cut in values)
+    return rf"""
+WITH split AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t,
+    [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w,
+    [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
+  FROM documents
+), grams AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM split)
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM (
+    SELECT doc_id, i, unnest(range(5)) AS j FROM (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1)
+  ) GROUP BY doc_id
+), counts AS (
+  SELECT split.doc_id, lang, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    coalesce(covered.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_distinct(w)) AS n_distinct,
+    CAST(len(regexp_extract_all(t, '!')) AS BIGINT) AS n_shouts
+  FROM split LEFT JOIN covered ON covered.doc_id = split.doc_id
+), based AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts
+), long AS (
+  SELECT doc_id, lang, base_failed, m.rule, CAST(m.value AS DOUBLE) AS value FROM based, LATERAL (VALUES {measures}) AS m(rule, value)
+), cuts AS (SELECT * FROM (VALUES {cuts}) AS c(rule, cut)
+), rows AS (
+  SELECT long.lang, long.rule, cut, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+    sum(CASE WHEN value > cut AND quality = 1 THEN 1 ELSE 0 END) AS wrong,
+    sum(CASE WHEN value > cut AND quality = 0 THEN 1 ELSE 0 END) AS right_
+  FROM long JOIN labels ON labels.doc_id = long.doc_id JOIN cuts ON cuts.rule = long.rule
+  WHERE quality IN (0, 1) AND NOT base_failed GROUP BY ALL
+), tested AS (
+  SELECT *, CASE WHEN wrong >= good * {risk.rate} THEN 1.0 ELSE (
+    SELECT sum(exp(lgamma(good + 1) - (CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END) - lgamma(good - j + 1)
+      + j * ln({risk.rate}) + (good - j) * ln(1 - {risk.rate})))
+    FROM (SELECT unnest(range(CAST(wrong AS BIGINT) + 1)) AS j)) END AS p, count(*) OVER () AS tests FROM rows
+), best AS (
+  SELECT lang, rule, cut FROM tested WHERE right_ > 0 AND p <= {risk.error} / tests
+  QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY right_ DESC, cut DESC) = 1
+), rejected AS (
+  SELECT DISTINCT long.doc_id FROM long JOIN best ON best.rule = long.rule AND best.lang IS NOT DISTINCT FROM long.lang WHERE value > cut
+)
+SELECT based.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND rejected.doc_id IS NULL AS kept
+FROM based LEFT JOIN rejected ON rejected.doc_id = based.doc_id
+"""
+
+
+ORACLES["op4_quality_rules"] = _rules_sql()

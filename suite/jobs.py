@@ -131,9 +131,9 @@ def p03(spark, sf):
     return P.build_labelled_titles(posts, keep=3)
 
 
-@query("p04_duplicate_corpus", f"""WITH d AS (SELECT related_post_id, post_id // 4096 AS chunk, string_agg({S.search_text('title', False)}, chr(9) ORDER BY post_id, {S.search_text('title', False)}) AS newer
-  FROM dup_pairs JOIN link_posts ON post_id = comment_id GROUP BY 1, 2)
-SELECT related_post_id, chunk, {S.search_text('p.title', False)} || chr(9) || newer AS value FROM d JOIN link_posts p ON related_post_id = p.comment_id""")
+@query("p04_duplicate_corpus", f"""WITH d AS (SELECT related_post_id, string_agg({S.search_text('title', False)}, chr(9) ORDER BY post_id, {S.search_text('title', False)}) AS newer
+  FROM dup_pairs JOIN link_posts ON post_id = comment_id GROUP BY 1)
+SELECT related_post_id, {S.search_text('p.title', False)} || chr(9) || newer AS value FROM d JOIN link_posts p ON related_post_id = p.comment_id""")
 def p04(spark, sf):
     return P.build_duplicate_corpus(V.links(spark, sf), V.link_posts(spark, sf))
 

@@ -196,11 +196,10 @@ def a01(spark, sf):
     return A.joined_tags(V.csv_tags(spark, sf)).select("Id", F.col("Tag").alias("tags"))
 
 
-@query("a02_parent_answer_lists", """SELECT parent_id, comment_id // 4096 AS chunk, string_agg(comment_id::VARCHAR, ',' ORDER BY comment_id) AS answer_ids
-FROM posts WHERE parent_id IS NOT NULL GROUP BY 1, 2""")
+@query("a02_parent_answer_lists", """SELECT parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY comment_id) AS position, comment_id AS answer_id
+FROM posts WHERE parent_id IS NOT NULL""")
 def a02(spark, sf):
-    lists = A.parent_answer_lists(V.posts(spark, sf))
-    return lists.withColumn("answer_ids", F.array_join(F.col("answer_ids").cast("array<string>"), ","))
+    return A.parent_answer_lists(V.posts(spark, sf))
 
 
 FOUND_SQL = """found AS (SELECT q.comment_id, q.comment AS comment_parent, q.title, q.score AS score_parent, q.tags,
@@ -227,20 +226,20 @@ def j02(spark, sf):
     return joined.select("comment_id", "score", F.round("distances", 6).alias("distances"))
 
 
-@query("a03_combined_answers", f"""WITH {FOUND_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY score_comment DESC, answer_id) AS rank FROM found
-  WHERE title IS NOT NULL AND tags IS NOT NULL)
-SELECT comment_id, (rank - 1) // 2 AS chunk, distances, string_agg(comment_comment || '::' || score_comment::VARCHAR, chr(10) || '--' ORDER BY rank) AS combined
-FROM r GROUP BY 1, 2, 3""")
+@query("a03_combined_answers", f"""WITH {FOUND_SQL}
+SELECT comment_id, distances, string_agg(comment_comment || '::' || score_comment::VARCHAR, chr(10) || '--' ORDER BY score_comment DESC, answer_id) AS combined
+FROM found WHERE title IS NOT NULL AND tags IS NOT NULL GROUP BY 1, 2""")
 def a03(spark, sf):
-    lists = A.combined_answers(_found(spark, sf), per_row=2)
-    return lists.select("comment_id", "chunk", "distances", F.array_join("combined_comments", "\n--").alias("combined"))
+    posts = V.posts(spark, sf)
+    parents = posts.where("parent_id is null").withColumn("distances", F.round(F.col("score") / 7.0, 6))
+    lists = A.combined_answers(parents, posts.where("parent_id is not null"))
+    return lists.select("comment_id", "distances", F.array_join("combined_comments", "\n--").alias("combined"))
 
 
-@query("a04_duplicate_lists", """SELECT related_post_id, post_id // 4096 AS chunk, string_agg(post_id::VARCHAR, ',' ORDER BY post_id) AS post_ids
-FROM dup_pairs GROUP BY 1, 2""")
+@query("a04_duplicate_lists", """SELECT related_post_id, row_number() OVER (PARTITION BY related_post_id ORDER BY post_id) AS position, post_id
+FROM dup_pairs""")
 def a04(spark, sf):
-    lists = A.duplicate_lists(J.duplicate_pairs(V.links(spark, sf), V.link_posts(spark, sf)))
-    return lists.withColumn("post_ids", F.array_join(F.col("post_ids").cast("array<string>"), ","))
+    return A.duplicate_lists(J.duplicate_pairs(V.links(spark, sf), V.link_posts(spark, sf)))
 
 
 @query("a05_best_answer", f"""WITH {FOUND_SQL} SELECT comment_id, answer_id, score_comment FROM

@@ -129,10 +129,18 @@ def w03(spark, sf):
     return N.nearest(_tagged(spark, sf), V.thread_vectors(spark, sf), 10, "angular", group="tag")
 
 
-@query("v08_approximate_neighbours")
+@query("v08_approximate_neighbours", """WITH n AS (SELECT tag, count(*) AS n FROM labelled_vectors GROUP BY tag)
+SELECT tag, n * least(6, n) AS rows, TRUE AS recalled FROM n""")
 def v08(spark, sf):
+    """Rows per tag, and whether four fifths of the five nearest others are found."""
     stored = V.labelled_vectors(spark, sf)
-    return N.approximate_nearest(stored.withColumnRenamed("comment_id", "qid"), stored, 5, trees=8)
+    asked = stored.withColumnRenamed("comment_id", "qid")
+    found = written(N.approximate_nearest(asked, stored, 6), "approximate")
+    exact = N.nearest(asked, stored, 6, group="tag").where("qid <> comment_id")
+    hits = found.select("qid", "tag", "comment_id", F.lit(1).alias("hit"))
+    share = exact.join(hits, ["qid", "tag", "comment_id"], "left").groupBy("tag").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
+    rows = found.groupBy("tag").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.join(share, "tag").select("tag", "rows", (F.col("share") >= 0.8).alias("recalled"))
 
 
 @query("v10_linear_kernel", f"WITH {TAGGED} SELECT a.qid, a.tag, b.comment_id, {S.r6(DISTANCE['dot'])} AS distances FROM tagged a JOIN thread_vectors b ON a.tag = b.tag")
@@ -413,12 +421,13 @@ weighed AS (SELECT s.qid, s.comment_id, s.distances, (1 - d) * 0.92 + t1 * 0.74
   FROM scaled s JOIN predicted p ON s.qid = p.qid)"""
 
 
-@query("p05_answers", f"""WITH {WEIGHED}, {LISTS} SELECT qid, comment_id, distances, round(weight, 6) AS final_weight, combined FROM weighed JOIN lists ON parent_id = comment_id""")
+@query("p05_answers", f"""WITH {WEIGHED}, {LISTS} SELECT qid, comment_id, distances, round(weight, 6) AS final_weight, combined,
+  row_number() OVER (PARTITION BY qid ORDER BY round(weight, 6) DESC, comment_id)::INTEGER AS rank FROM weighed JOIN lists ON parent_id = comment_id""")
 def p05(spark, sf):
     found = Q.answer_questions(
         V.predicted(spark, sf), V.posts(spark, sf), V.thread_vectors(spark, sf), V.word_vectors(spark, sf), V.idf(spark, sf), V.DIM)
     return found.select(
-        "qid", "comment_id", "distances", "final_weight",
+        "qid", "comment_id", "distances", "final_weight", "rank",
         F.array_join("combined_comments", "\n--").alias("combined"))
 
 
@@ -434,7 +443,8 @@ raw AS (SELECT qid, comment_id, 0.0 AS d, tfidf AS t1, ngram AS n1, combo AS c1,
 scaled AS (SELECT qid, comment_id, {SCALE} FROM raw WINDOW w AS (PARTITION BY qid)),
 s AS (SELECT setting, qid, comment_id AS pos, round((1 - d) * wd + 2 * (t1 * wt + n1 * wn + c1 * wc), 6) AS score FROM scaled, g),
 r AS (SELECT t.setting, t.qid, 1 + sum(CASE WHEN s.score > t.score THEN 1 ELSE 0 END) AS rank FROM s t JOIN s ON s.setting = t.setting AND s.qid = t.qid WHERE t.pos = 0 GROUP BY 1, 2)
-SELECT setting, round(sum(CASE WHEN rank <= 10 THEN 1 / log2(1 + rank) ELSE 0 END) / count(*), 6) AS dcg FROM r GROUP BY setting""")
+SELECT *, row_number() OVER (ORDER BY dcg DESC, setting) = 1 AS best FROM
+  (SELECT setting, round(sum(CASE WHEN rank <= 10 THEN 1 / log2(1 + rank) ELSE 0 END) / count(*), 6) AS dcg FROM r GROUP BY setting)""")
 def v16(spark, sf):
     cases = V.cases(spark, sf)
     found = cases.select("qid", F.posexplode("cands").alias("pos", "title")).select(
@@ -447,4 +457,4 @@ def v16(spark, sf):
     from threadloom.operators.aggregates import min_max_scaled
 
     scaled = min_max_scaled(flat, W.FEATURES, "qid")
-    return W.best_weights(scaled, GRID, 10).withColumn("dcg", F.round("dcg", 6))
+    return W.best_weights(scaled, GRID, 10)

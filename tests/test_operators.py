@@ -28,20 +28,26 @@ def test_acceptable(spark):
     assert [r[0] for r in df.select(P.acceptable_long(F.col("c"))).collect()] == [False, True, True, True, True]
 
 
-def test_combined_answers_order_and_chunks(spark):
-    schema = ("qid bigint, comment_id bigint, comment_parent string, title string, score_parent bigint, distances double, "
-              "tags string, parent_id bigint, answer_id bigint, comment_comment string, score_comment bigint")
-    rows = [(1, 5, "q", "t", 1, 0.5, "x", 5, i, f"a{i}", i % 4) for i in range(10)] + [(1, 6, "q", None, 1, 0.5, "x", 6, 99, "z", 1)]
-    got = A.combined_answers(spark.createDataFrame(rows, schema), "qid", per_row=4).orderBy("chunk").collect()
-    assert [len(r["combined_comments"]) for r in got] == [4, 4, 2]
-    order = sorted(range(10), key=lambda i: (-(i % 4), i))
-    assert [t for r in got for t in r["combined_comments"]] == [f"a{i}::{i % 4}" for i in order]
-
-
-def test_id_lists_keep_repeats(spark):
-    df = spark.createDataFrame([(1, 3), (1, 3), (1, 9), (None, 4), (1, 5000)], "p bigint, c bigint")
-    got = {(r["p"], r["chunk"]): r["ids"] for r in A.id_lists(df, "p", "c", "ids").collect()}
-    assert got == {(1, 0): [3, 3, 9], (1, 1): [5000]}
+def test_combined_answers_are_whole_and_in_order(spark):
+    parents = spark.createDataFrame(
+        [(1, 5, "q", "t", 1, 0.5, "x"), (2, 5, "q", "t", 1, 0.7, "x"), (1, 6, "q", None, 1, 0.5, "x"), (1, 7, "q", "t", 1, 0.5, "x")],
+        "qid bigint, comment_id bigint, comment string, title string, score bigint, distances double, tags string",
+    )
+    answers = spark.createDataFrame(
+        [(5, i, f"a{i}", i % 4) for i in range(2500)] + [(6, 9001, "z", 1), (7, 9002, None, 3), (8, 9003, "y", 1)],
+        "parent_id bigint, comment_id bigint, comment string, score bigint",
+    )
+    got = A.combined_answers(parents, answers).orderBy("qid").collect()
+    assert [(r["qid"], r["comment_id"]) for r in got] == [(1, 5), (2, 5)]
+    order = sorted(range(2500), key=lambda i: (-(i % 4), i))
+    assert all(r["combined_comments"] == [f"a{i}::{i % 4}" for i in order] for r in got)
+
+
+def test_id_positions_are_whole(spark):
+    ids = [3, 3, 9, 5000, 70_000, 70_001, 200_000]
+    df = spark.createDataFrame([(1, i) for i in ids] + [(None, 4), (2, 8), (2, None)], "p bigint, c bigint")
+    got = sorted(tuple(r) for r in A.id_positions(df, "p", "c", "id").collect())
+    assert got == [(1, n + 1, i) for n, i in enumerate(ids)] + [(2, 1, 8)]
 
 
 def test_scaling_of_constant_and_single_rows(spark):

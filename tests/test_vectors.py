@@ -1,5 +1,6 @@
 """Text vectors, neighbours, ranks and features against brute force."""
 
+import collections
 import math
 
 import numpy as np
@@ -113,12 +114,18 @@ def test_own_rank_matches_brute_force(spark, points):
         assert got[i] == (place, other)
 
 
-def test_approximate_neighbours_recall(spark, points):
+@pytest.mark.parametrize("dim", [64, 300])
+def test_approximate_neighbours_recall(spark, dim):
+    rng = np.random.default_rng(dim)
+    middles = rng.normal(size=(12, dim))
+    points = [(i, "ab"[i % 2], (middles[i % 12] + rng.normal(size=dim)).tolist()) for i in range(900)] + [(5000, "c", [1.0] * dim), (5001, "c", [0.0] * dim)]
     stored = spark.createDataFrame(points, "comment_id bigint, tag string, vec array<double>")
-    asked = spark.createDataFrame([p for p in points if p[0] % 60 == 1], "qid bigint, tag string, vec array<double>")
-    exact = {(r["qid"], r["comment_id"]) for r in N.nearest(asked, stored, 5, group="tag").collect()}
-    close = {(r["qid"], r["comment_id"]) for r in N.approximate_nearest(asked, stored, 5, trees=12).collect()}
-    assert len(exact & close) / len(exact) > 0.8
+    asked = spark.createDataFrame([p for p in points if p[0] % 50 < 2], "qid bigint, tag string, vec array<double>")
+    exact = {(r["qid"], r["comment_id"]) for r in N.nearest(asked, stored, 6, group="tag").collect() if r["qid"] != r["comment_id"]}
+    found = [(r["qid"], r["comment_id"]) for r in N.approximate_nearest(asked, stored, 6).collect()]
+    sizes = collections.Counter(q for q, _ in found)
+    assert all(n == (2 if q >= 5000 else 6) for q, n in sizes.items()) and len(sizes) == asked.count()
+    assert len(exact & set(found)) / len(exact) >= 0.8
 
 
 def test_full_rank_with_a_hot_key(spark):

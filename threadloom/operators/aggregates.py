@@ -1,6 +1,7 @@
 """Groupings, argmax, counts and histograms.
 
-Lists are cut in chunks of bounded length, since the rows of one key may not fit in one list.
+Lists are kept in long form, one row per member with its position, so nothing grows with a key; only
+the rows that are shown or written as a line gather them.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import scored_answer
-from threadloom.operators.ranking import full_rank
+from threadloom.operators.ranking import top_k
 
-ID_SPAN = 4096
+ID_SPAN = 65536
 
 
 def joined_tags(tags: DataFrame) -> DataFrame:
@@ -28,56 +29,60 @@ def joined_tags(tags: DataFrame) -> DataFrame:
     return listed.select("Id", F.array_join(spelled, " ").alias("Tag"))
 
 
-def id_lists(pairs: DataFrame, key: str, member: str, name: str, span: int = ID_SPAN) -> DataFrame:
-    """Ascending member ids per key, in chunks by id range.
+def id_positions(pairs: DataFrame, key: str, member: str, name: str) -> DataFrame:
+    """(key, position, id): the members of each key in ascending order, from 1, repeats kept.
 
-    A chunk covers ``span`` consecutive ids, so it cannot hold more than that many different ones.
-    Chunks in order, joined end to end, are the whole ascending list. Repeats are kept.
+    Positions are counted in two steps: a member's place within its range of ids, plus the sizes of
+    the earlier ranges of its key. A hot key spreads over its ranges, whose sizes combine on the map
+    side, and nothing is cut.
     """
-    counted = pairs.where(F.col(key).isNotNull()).groupBy(key, member)
-    counted = counted.agg(F.count(F.lit(1)).cast("int").alias("times"))
-    chunk = F.floor(F.col(member) / span).alias("chunk")
-    lists = counted.groupBy(key, chunk).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(member).alias("id"), "times"))).alias("ids")
-    )
-    spelled = F.flatten(F.transform("ids", lambda i: F.array_repeat(i["id"], i["times"])))
-    return lists.select(key, "chunk", spelled.alias(name))
+    known = pairs.where(F.col(key).isNotNull() & F.col(member).isNotNull())
+    ranged = known.select(key, F.col(member).alias(name), F.floor(F.col(member) / ID_SPAN).alias("_range"))
+    sizes = ranged.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(key, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(key, "_range").orderBy(name))
+    placed = ranged.withColumn("_place", place).join(before, [key, "_range"])
+    return placed.select(key, (F.col("_place") + F.col("_before")).alias("position"), name)
 
 
 def parent_answer_lists(posts: DataFrame) -> DataFrame:
-    """Answer ids of each parent."""
-    return id_lists(posts, "parent_id", "comment_id", "answer_ids")
+    """Answer ids of each parent, in order."""
+    return id_positions(posts, "parent_id", "comment_id", "answer_id")
 
 
 def duplicate_lists(pairs: DataFrame) -> DataFrame:
-    """Newer duplicates of each post."""
-    return id_lists(pairs, "related_post_id", "post_id", "post_ids")
+    """Newer duplicates of each post, in order."""
+    return id_positions(pairs, "related_post_id", "post_id", "post_id")
 
 
-def combined_answers(found: DataFrame, *keys: str, per_row: int = 1000) -> DataFrame:
-    """Answers of each parent as ``comment::score`` texts, best score first.
+def combined_answers(parents: DataFrame, answers: DataFrame) -> DataFrame:
+    """Found parents with all their answers as ``comment::score`` texts, best score first.
 
-    One row holds up to ``per_row`` answers; ``chunk`` numbers the rows of a parent with more.
-    Rows with a missing group value are left out, as grouping there never kept them.
+    One row per found parent. Each parent's answers are gathered once, however many questions found
+    it, and only those of found parents; titles, bodies and distances are joined to them afterwards.
+    Parents with a missing shown value, or without an answer that has a text, are left out.
     """
-    group = [*keys, "comment_id", "comment_parent", "title", "score_parent", "distances", "tags", "parent_id"]
-    for column in group:
-        found = found.where(F.col(column).isNotNull())
-    ranked = full_rank(found, [*keys, "parent_id"], [F.desc("score_comment"), F.asc("answer_id")])
-    chunk = F.floor((F.col("rank") - 1) / per_row).alias("chunk")
-    texts = F.struct("rank", scored_answer(F.col("comment_comment"), F.col("score_comment")).alias("text"))
-    lists = ranked.groupBy(*group, chunk).agg(F.sort_array(F.collect_list(texts)).alias("texts"))
-    return lists.withColumn("combined_comments", F.col("texts")["text"]).drop("texts")
+    for column in ("comment_id", "comment", "title", "score", "distances", "tags"):
+        parents = parents.where(F.col(column).isNotNull())
+    wanted = parents.select(F.col("comment_id").alias("parent_id")).distinct()
+    replies = answers.where(F.col("comment").isNotNull()).join(wanted, "parent_id", "left_semi")
+    entry = F.struct(
+        F.isnull("score").alias("none"), (-F.col("score")).alias("order"), "comment_id",
+        scored_answer(F.col("comment"), F.col("score")).alias("text"),
+    )
+    lists = replies.groupBy("parent_id").agg(F.sort_array(F.collect_list(entry)).alias("_texts"))
+    shown = parents.drop("parent_id", "date").withColumnsRenamed({"comment": "comment_parent", "score": "score_parent"})
+    found = shown.join(lists, F.col("comment_id") == F.col("parent_id"))
+    return found.withColumn("combined_comments", F.col("_texts")["text"]).drop("_texts")
 
 
 def best_answer(found: DataFrame, *keys: str) -> DataFrame:
     """Highest-scoring answer row per parent, the lower answer id on ties.
 
-    A maximum over structs combines on the map side; no parent is sorted anywhere.
+    Each task passes on one row per parent (window group limit); no task sorts bodies of others.
     """
-    whole = F.struct("score_comment", (-F.col("answer_id")).alias("_order"), F.struct(*found.columns).alias("_row"))
-    best = found.groupBy(*keys, "parent_id").agg(F.max(whole).alias("best"))
-    return best.select("best._row.*")
+    return top_k(found, [*keys, "parent_id"], [F.desc("score_comment"), F.asc("answer_id")], 1, "_rank").drop("_rank")
 
 
 def column_maxima(df: DataFrame, key: str = "parent_id") -> DataFrame:
@@ -123,12 +128,12 @@ def token_vocabulary(
 def length_histogram(values: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Counts in ``bins`` equal-width bins from minimum to maximum, the last one closed."""
     span = values.agg(F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high"))
-    low = span.select("low").scalar()
-    width = span.select(((F.col("high") - F.col("low")) / bins).alias("w")).scalar()
-    slot = F.when(width == 0, F.lit(bins // 2)).otherwise(
-        F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1))
+    bounds = span.select("low", ((F.col("high") - F.col("low")) / bins).alias("width"))
+    slot = F.when(F.col("width") == 0, F.lit(bins // 2)).otherwise(
+        F.least(F.floor((F.col(column) - F.col("low")) / F.col("width")), F.lit(bins - 1))
     )
-    counted = values.groupBy(slot.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    bounded = values.crossJoin(F.broadcast(bounds))  # one row of two numbers
+    counted = bounded.groupBy(slot.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
     every = values.sparkSession.range(bins).withColumnRenamed("id", "bin")
     return every.join(counted, "bin", "left").select("bin", F.coalesce("rows", F.lit(0)).alias("rows"))
 

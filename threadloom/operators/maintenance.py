@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.ranking import top_k
+
 
 def all_posts(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Questions and answers in one table, missing columns null."""
@@ -20,11 +22,11 @@ def only_new(incoming: DataFrame, stored: DataFrame, key: str = "comment_id") ->
     """Incoming rows with a key not stored yet; of rows sharing a key one is kept.
 
     The kept one is the smallest by all its columns: arrival order does not exist in a distributed
-    table.
+    table. Each task passes on one row per key (window group limit).
     """
     fresh = incoming.join(stored.select(key), key, "left_anti").select(*incoming.columns)
-    first = fresh.groupBy(key).agg(F.min(F.struct(*[c for c in fresh.columns if c != key])).alias("_row"))
-    return first.select(key, "_row.*").select(*incoming.columns)
+    order = [F.asc(c) for c in fresh.columns if c != key]
+    return top_k(fresh, [key], order, 1, "_rank").select(*incoming.columns)
 
 
 def appended(stored: DataFrame, incoming: DataFrame, key: str = "comment_id") -> DataFrame:
@@ -37,13 +39,11 @@ def upserted(stored: DataFrame, incoming: DataFrame, key: str = "parent_id", kee
 
     ``keep='lowest'`` is the literal rule of the original update, which replaced a stored answer
     when its score was higher than the new one; ``highest`` is what it was meant to do. Ties keep
-    the lower comment id. The choice is a struct extreme, combined on the map side.
+    the lower comment id. Each task passes on one row per key (window group limit).
     """
     both = stored.unionByName(incoming)
-    rest = F.struct(*both.columns)
-    sign = 1 if keep == "highest" else -1
-    order = F.struct((F.col("score") * sign).alias("s"), (-F.col("comment_id")).alias("i"))
-    return both.groupBy(key).agg(F.max_by(rest, order).alias("_row")).select("_row.*")
+    towards = F.desc_nulls_last("score") if keep == "highest" else F.asc_nulls_last("score")
+    return top_k(both, [key], [towards, F.asc("comment_id")], 1, "_rank").select(*both.columns)
 
 
 def without_orphans(replies: DataFrame) -> DataFrame:

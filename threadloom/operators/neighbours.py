@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact by blocks, approximate by random projections.
+"""Nearest neighbours: exact by blocks, approximate by cells around centres.
 
 Both sides are packed into blocks of bounded size that share a group (a tag). A pair of blocks is
 one row; a task multiplies the two small matrices and passes on only the ``k`` best per question, so
@@ -11,16 +11,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.operators.ranking import top_k
 
 BLOCK_ROWS = 512
-SALTS = 16
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -50,6 +47,10 @@ def larger_is_closer(metric: str) -> bool:
     return metric in ("dot", "cosine")
 
 
+def _block_counts(vectors: DataFrame, group: str) -> DataFrame:
+    return vectors.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("_blocks"))
+
+
 def packed(
     vectors: DataFrame, group: str, item: str, vec: str, prefix: str, extra: Sequence[str] = ()
 ) -> DataFrame:
@@ -58,8 +59,7 @@ def packed(
     A group of n rows is hashed into n / BLOCK_ROWS blocks, so blocks keep their size however large
     a group is and a hot group simply has more of them.
     """
-    sizes = vectors.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("_blocks"))
-    placed = vectors.join(sizes, group)
+    placed = vectors.join(_block_counts(vectors, group), group)
     bucket = F.pmod(F.xxhash64(item), F.col("_blocks")).alias("_block")
     rows = F.collect_list(F.struct(F.col(item).alias("id"), F.col(vec).alias("vec"), *extra))
     lists = placed.groupBy(group, bucket).agg(rows.alias("rows"))
@@ -67,15 +67,20 @@ def packed(
     return lists.select(group, "_block", *[F.col("rows")[field].alias(name) for field, name in names.items()])
 
 
-def _paired(questions: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
-    """Question blocks next to the vector blocks of their group.
+def _paired(questions: DataFrame, vectors: DataFrame, counts: DataFrame, group: str) -> DataFrame:
+    """Every question block next to every vector block of its group.
 
-    The vector blocks of a hot group are dealt out over salts and the (smaller) question side
-    repeats per salt, so no join key owns a whole group.
+    The join key is (group, vector block): question blocks repeat once per block of their group, so a
+    hot group has as many keys as blocks.
     """
-    salted = vectors.withColumn("_salt", F.pmod("_block", F.lit(SALTS)).cast("int")).drop("_block")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    return salted.join(questions.drop("_block").withColumn("_salt", copies), [group, "_salt"]).drop("_salt")
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block")
+    repeated = questions.drop("_block").join(counts, group).select(*[c for c in questions.columns if c != "_block"], copies)
+    return vectors.join(repeated, [group, "_block"]).drop("_block")
+
+
+def _of_asked(questions: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
+    """Vectors of the groups that are asked for; folders of others stay unread."""
+    return vectors.join(questions.select(group).distinct(), group, "left_semi")
 
 
 def _matrix(cell: pa.ListScalar) -> np.ndarray:
@@ -152,7 +157,10 @@ def nearest(
             "distances": np.take_along_axis(gap, chosen, axis=1).ravel(),
         }
 
-    pairs = _paired(packed(questions, key, question, vec, "q"), packed(vectors, key, item, vec, "v"), key)
+    if group is not None:
+        vectors = _of_asked(questions, vectors, key)
+    counts = _block_counts(vectors, key)
+    pairs = _paired(packed(questions, key, question, vec, "q"), packed(vectors, key, item, vec, "v"), counts, key)
     scored = _by_block(pairs, key, schema, best)
     if group is None:
         scored = scored.drop(key)
@@ -194,7 +202,9 @@ def own_rank(
         score = np.take_along_axis(seen, pick[:, None], axis=1).ravel()
         return {item: a, "ahead": before.sum(1), "other": b[pick], "score": score}
 
-    pairs = _paired(packed(probes, group, item, "vec", "q", ["own"]), packed(vectors, group, item, "vec", "v"), group)
+    stored = _of_asked(probes, vectors, group)
+    asked = packed(probes, group, item, "vec", "q", ["own"])
+    pairs = _paired(asked, packed(stored, group, item, "vec", "v"), _block_counts(stored, group), group)
     counts = _by_block(pairs, group, schema, ahead)
     best = F.max_by("other", F.struct("score", (-F.col("other")).alias("o")))
     return counts.groupBy(group, item).agg((F.sum("ahead") + 1).alias("rank"), best.alias("runner_up"))
@@ -204,33 +214,36 @@ def approximate_nearest(
     questions: DataFrame,
     vectors: DataFrame,
     k: int,
-    threshold: float = 1.0,
-    trees: int = 30,
-    bucket_length: float = 0.5,
+    share: float = 0.5,
+    at_least: int = 256,
+    cells: int = 64,
     question: str = "qid",
     item: str = "comment_id",
     group: str = "tag",
-    seed: int = 7,
 ) -> DataFrame:
-    """Approximate angular neighbours by random projections of unit vectors.
-
-    Euclidean distance of unit vectors is the angular distance. ``trees`` hash tables trade time for
-    recall; pairs further apart than ``threshold`` are not looked for.
+    """Approximate angular neighbours: ``k`` rows per question and group wherever the group has ``k``.
+
+    Some vectors of a group, chosen by a hash of their id (about the square root of its size, ``cells``
+    at most), are centres; every vector belongs to the nearest one. A question looks into the cells of
+    the nearest centres, widening until they hold ``share`` of the group, ``at_least`` vectors and ``k``,
+    or the group is used up.
+    Candidates are searched exactly within (group, cell), so pairs of other groups never form.
+    ``vectors`` is read several times and should be a stored table.
     """
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        filled = df.where(F.exists("vec", lambda x: x != 0)).select(key, group, array_to_vector("vec").alias("raw"))
-        return Normalizer(inputCol="raw", outputCol="unit").transform(filled).drop("raw")
-
-    asked, stored = unit(questions, question), unit(vectors, item)
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", numHashTables=trees, bucketLength=bucket_length, seed=seed
-    )
-    model = lsh.fit(stored)
-    near = model.approxSimilarityJoin(asked, stored, threshold, distCol="distances")
-    near = near.where(F.col(f"datasetA.{group}") == F.col(f"datasetB.{group}")).select(
-        F.col(f"datasetA.{question}").alias(question),
-        F.col(f"datasetA.{group}").alias(group),
-        F.col(f"datasetB.{item}").alias(item),
-        "distances",
-    )
-    return top_k(near, [question, group], [F.asc("distances"), F.asc(item)], k)
+    vectors = _of_asked(questions, vectors, group).select(group, item, "vec")
+    sizes = vectors.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    hashed = F.xxhash64(F.col(item).cast("string"))
+    centres = top_k(vectors.withColumn("_h", hashed), [group], [F.asc("_h"), F.asc(item)], cells, "_at").join(sizes, group)
+    centres = centres.where(F.col("_at") <= F.ceil(F.sqrt("_n"))).select(group, F.col(item).alias("cell"), "vec")
+    owned = nearest(vectors, centres, 1, "angular", item, "cell", group).select(group, item, "cell")
+    held = owned.groupBy(group, "cell").agg(F.count(F.lit(1)).alias("_held"))
+    probed = nearest(questions, centres, cells, "angular", question, "cell", group).join(held, [group, "cell"]).join(sizes, group)
+    nearer = Window.partitionBy(question, group).orderBy("distances", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_held").over(nearer), F.lit(0))
+    opened = probed.withColumn("_before", before).where(F.col("_before") < F.greatest(F.lit(max(k, at_least)), F.col("_n") * share))
+    spot = F.struct(F.col(group).cast("string").alias("g"), F.col("cell").cast("string").alias("c")).cast("string")
+    stored = vectors.join(owned, [group, item]).select(spot.alias("_spot"), item, "vec")
+    asked = questions.join(opened.select(question, group, "cell"), [question, group]).select(spot.alias("_spot"), question, group, "vec")
+    found = nearest(asked.select("_spot", question, "vec"), stored, k, "angular", question, item, "_spot")
+    named = found.join(asked.select("_spot", question, group), ["_spot", question]).select(question, group, item, "distances")
+    return top_k(named, [question, group], [F.asc("distances"), F.asc(item)], k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import constants as C
@@ -41,8 +41,8 @@ def term_weights(docs: DataFrame, keys: Sequence[str], text: str, idf: DataFrame
     tokens = placed(docs.select(*keys, text), *keys).select(*keys, F.explode(whitespace_tokens(F.col(text))).alias("term"))
     counts = tokens.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     weighted = counts.join(idf, "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    lengths = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return weighted.join(lengths, [*keys]).select(*keys, "term", (F.col("w") / F.col("length")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))  # the terms of one text
+    return weighted.select(*keys, "term", (F.col("w") / length).alias("weight"))
 
 
 def term_similarity(asked: DataFrame, stored: DataFrame, question: str = "qid", item: str = "comment_id") -> DataFrame:

@@ -12,10 +12,9 @@ from threadloom.functions.text import search_text
 from threadloom.functions.vectors import cosine
 from threadloom.operators.aggregates import combined_answers
 from threadloom.operators.embed import mean_vectors, weighted_words
-from threadloom.operators.joins import parents_with_answers, with_distances
 from threadloom.operators.metrics import ranking_metrics
 from threadloom.operators.neighbours import nearest
-from threadloom.operators.ranking import rank_of_first
+from threadloom.operators.ranking import rank_of_first, weight_rank
 from threadloom.operators.rerank import all_features, weighed
 from threadloom.operators.selection import askable
 from threadloom.session import placed, written
@@ -29,12 +28,12 @@ def thread_vectors(posts: DataFrame, text: str, tag: Column, words: DataFrame, i
 
 
 def found_answers(neighbours: DataFrame, posts: DataFrame) -> DataFrame:
-    """Found posts with title, body, tags and their combined answers, per question."""
-    wanted = neighbours.select("qid", "comment_id").distinct()
-    parents = wanted.join(posts, "comment_id")
-    placed = with_distances(parents, neighbours, "qid")
-    answers = posts.where(F.col("parent_id").isNotNull())
-    return combined_answers(parents_with_answers(placed, answers), "qid")
+    """Found posts with title, body, tags and all their answers: one row per question and post.
+
+    The least distance per (question, post) is the list of found posts, so the search runs once.
+    """
+    near = neighbours.groupBy("qid", "comment_id").agg(F.min("distances").alias("distances"))
+    return combined_answers(near.join(posts, "comment_id"), posts.where(F.col("parent_id").isNotNull()))
 
 
 def question_vectors(questions: DataFrame, words: DataFrame, idf: DataFrame, dim: int) -> DataFrame:
@@ -47,7 +46,7 @@ def answer_questions(
     questions: DataFrame, posts: DataFrame, vectors: DataFrame, words: DataFrame, idf: DataFrame, dim: int,
     k: int = C.TOP_NEIGHBOURS, metric: str = "angular",
 ) -> DataFrame:
-    """Ranked answers to every question.
+    """Ranked answers to every question, best weight first; ``rank`` counts from 1 per question.
 
     ``questions`` is (qid, question, predicted) with ``predicted`` an array of (tag, score) from the
     classifier. Only the vectors of those tags are searched. The found candidates are written once,
@@ -59,10 +58,8 @@ def answer_questions(
     neighbours = nearest(asked.join(tags, "qid"), vectors, k, metric, group="tag")
     found = written(found_answers(neighbours, posts), "candidates")
     cleaned = questions.select("qid", search_text(F.col("question")).alias("question"), "predicted")
-    parents = found.where(F.col("chunk") == 0).drop("combined_comments", "chunk")
-    ranked = weighed(all_features(parents, cleaned), cleaned)
-    lists = found.select("qid", "comment_id", "chunk", "combined_comments")
-    return ranked.join(lists, ["qid", "comment_id"])
+    ranked = weight_rank(weighed(all_features(found.drop("combined_comments"), cleaned), cleaned))
+    return ranked.join(found.select("qid", "comment_id", "combined_comments"), ["qid", "comment_id"])
 
 
 def answer_topic_questions(

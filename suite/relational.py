@@ -54,9 +54,9 @@ def f04(spark, sf):
     return V.posts(spark, sf).where(P.acceptable_short(F.col("comment"))).select("comment_id")
 
 
-@query("f05_without_literal", "SELECT comment_id FROM posts WHERE NOT contains(comment, 'code')")
+@query("f05_without_literal", "SELECT comment_id FROM posts WHERE NOT contains(comment, 'token')")
 def f05(spark, sf):
-    return P.without_literal(V.posts(spark, sf), "comment").select("comment_id")
+    return P.without_literal(V.posts(spark, sf), "comment", "token").select("comment_id")
 
 
 @query("f06_usable_pairs", "SELECT qid, question AS title, reply AS comment FROM turn_pairs WHERE length(reply) > 100 AND length(question) > 20")
@@ -80,10 +80,9 @@ def f09(spark, sf):
     return P.existing(V.links(spark, sf), V.posts(spark, sf), "related_post_id").select("post_id", "related_post_id", "link_type_id")
 
 
-@query("f10_posts_with_ids", f"SELECT {POST} FROM posts WHERE comment_id IN (SELECT related_post_id FROM links WHERE link_type_id = 3)")
+@query("f10_posts_with_ids", f"SELECT {POST} FROM posts WHERE comment_id IN (SELECT related_post_id FROM links)")
 def f10(spark, sf):
-    wanted = V.links(spark, sf).where("link_type_id = 3")
-    return dated(P.posts_with_ids(V.posts(spark, sf), wanted, "related_post_id"))
+    return dated(P.posts_with_ids(V.posts(spark, sf), V.links(spark, sf), "related_post_id"))
 
 
 @query("f11_tagged_with_any", f"""SELECT comment_id, {S.storage_tags("tags")} AS tags FROM posts

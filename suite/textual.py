@@ -60,8 +60,8 @@ def t10(spark, sf):
     )
 
 
-GROUPS = ", ".join(f"({S.lit(raw)}, {S.lit(name)})" for name, raws in C.TAG_GROUPS.items() for raw in raws.split())
-RAW = [raw for raws in C.TAG_GROUPS.values() for raw in raws.split()] + ["none", "cobol", "fortran"]
+GROUPS = ", ".join(f"({S.lit(raw)}, {S.lit(name)})" for name, raws in C.TAG_GROUPS.items() for raw in raws)
+RAW = [raw for raws in C.TAG_GROUPS.values() for raw in raws] + ["none", "cobol", "fortran"]
 RAW_SQL = "[" + ", ".join(S.lit(r) for r in RAW) + "]"
 
 

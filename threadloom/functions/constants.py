@@ -4,16 +4,20 @@ Results depend on these exact words, patterns, orders and numbers, so they are s
 """
 
 # English stop words that can still occur once punctuation is gone.
-STOP_WORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself "
-    "she her hers herself it its itself they them their theirs themselves what which who whom this "
-    "that these those am is are was were be been being have has had having do does did doing a an "
-    "the and but if or because as until while of at by for with about against between into through "
-    "during before after above below to from up down in out on off over under again further then "
-    "once here there when where why how all any both each few more most other some such no nor not "
-    "only own same so than too very s t can will just don should now d ll m o re ve y ain aren "
-    "couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn"
-).split()
+STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself",
+    "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself",
+    "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that",
+    "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had",
+    "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as",
+    "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "into", "through",
+    "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off",
+    "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how",
+    "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not",
+    "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should",
+    "now", "d", "ll", "m", "o", "re", "ve", "y", "ain", "aren", "couldn", "didn", "doesn", "hadn", "hasn",
+    "haven", "isn", "ma", "mightn", "mustn", "needn", "shan", "shouldn", "wasn", "weren", "won", "wouldn",
+]
 
 # Literal replacements, applied in this order.
 SEARCH_REPLACEMENTS = (
@@ -54,37 +58,50 @@ SHORT_SPECIALS = ("_unk_", "_pad_")
 LONG_SPECIALS = ("_unk_", "_pad_", "_bos_", "_eos_")
 
 # The tags of the topic subset.
-TOPIC_TAGS = (
-    "python django python-3.x python3x pythonx python-2.7 python27 apache-spark apachespark pandas "
-    "numpy matplotlib flask tensorflow machine-learning machinelearning nlp cuda neural-network "
-    "neuralnetwork artificial-intelligence artificialintelligence deep-learning deeplearning"
-).split()
+TOPIC_TAGS = [
+    "python", "django", "python-3.x", "python3x", "pythonx", "python-2.7", "python27", "apache-spark",
+    "apachespark", "pandas", "numpy", "matplotlib", "flask", "tensorflow", "machine-learning",
+    "machinelearning", "nlp", "cuda", "neural-network", "neuralnetwork", "artificial-intelligence",
+    "artificialintelligence", "deep-learning", "deeplearning",
+]
 
-# Canonical tag <- raw tags (raw tags as they look after label cleaning).
+# Canonical tag <- raw tags, as they look after label cleaning without and with digits.
 TAG_GROUPS = {
-    "c++c": "c++ c objectivec visualc++ cmake qt",
-    "java": "java eclipse",
-    "php": "php laravel symfony magento drupal",
-    "ruby": "ruby rubyonrails",
-    "sql": "sql sqlserver mysql mongodb database postgresql sqlite cassandra sparql plsql couchdb "
-           "hbase hive",
-    "python": "python django pythonx apachespark pandas numpy matplotlib flask heroku",
-    "javascript": "javascript json jquery angularjs angular jquerymobile reactjs ajax npm nodejs "
-                  "vuejs knockoutjs djs emberjs reactnative clojure d extjs",
-    "ios": "ios iphone swift",
-    ".net": "net aspnet aspnetmvc vbnet",
-    "bash": "git bash powershell shell vim versioncontrol ssh",
-    "excel": "excelformula excel excelvba",
-    "basic": "html css xml http curl",
-    "os": "macos windows linux ubuntu email internetexplorer googlechrome",
-    "frameworks": "sharepoint vba wpf entityframework wordpress oracle facebook azure "
-                  "amazonwebservices visualstudio docker elasticsearch googleappengine aws "
-                  "visualstudiocode androidstudio amazonec amazons tableau",
-    "machine_learning": "tensorflow machinelearning algorithms hadoop validation nlp cuda "
-                        "neuralnetwork artificialintelligence vector deeplearning algorithm math",
-    "list": "list arrays",
-    "actionscript3-flex-flash": "actionscript flex flash googleappsscript",
-    "apache": "apache maven grails cordova htaccess",
+    "c++c": ["c++", "c", "objectivec", "visualc++", "cmake", "qt"],
+    "java": ["java", "eclipse"],
+    "php": ["php", "laravel", "symfony", "magento", "drupal"],
+    "ruby": ["ruby", "rubyonrails", "rubyonrails3"],
+    "sql": [
+        "sql", "sqlserver", "mysql", "mongodb", "database", "postgresql", "sqlite", "cassandra",
+        "sparql", "plsql", "couchdb", "hbase", "hive", "sqlserver2008",
+    ],
+    "python": [
+        "python", "django", "pythonx", "apachespark", "pandas", "numpy", "matplotlib", "flask",
+        "heroku", "python3x", "python27",
+    ],
+    "javascript": [
+        "javascript", "json", "jquery", "angularjs", "angular", "jquerymobile", "reactjs", "ajax",
+        "npm", "nodejs", "vuejs", "knockoutjs", "djs", "emberjs", "reactnative", "clojure", "d",
+        "extjs", "d3js",
+    ],
+    "ios": ["ios", "iphone", "swift", "swift3", "ios7", "ios5", "ios4"],
+    ".net": ["net", "aspnet", "aspnetmvc", "vbnet", "aspnetmvc3"],
+    "bash": ["git", "bash", "powershell", "shell", "vim", "versioncontrol", "ssh"],
+    "excel": ["excelformula", "excel", "excelvba"],
+    "basic": ["html", "css", "xml", "http", "curl", "html5", "css3"],
+    "os": ["macos", "windows", "linux", "ubuntu", "email", "internetexplorer", "googlechrome"],
+    "frameworks": [
+        "sharepoint", "vba", "wpf", "entityframework", "wordpress", "oracle", "facebook", "azure",
+        "amazonwebservices", "visualstudio", "docker", "elasticsearch", "googleappengine", "aws",
+        "visualstudiocode", "androidstudio", "amazonec", "amazons", "tableau", "visualstudio2010",
+    ],
+    "machine_learning": [
+        "tensorflow", "machinelearning", "algorithms", "hadoop", "validation", "nlp", "cuda",
+        "neuralnetwork", "artificialintelligence", "vector", "deeplearning", "algorithm", "math",
+    ],
+    "list": ["list", "arrays"],
+    "actionscript3-flex-flash": ["actionscript", "flex", "flash", "googleappsscript"],
+    "apache": ["apache", "maven", "grails", "cordova", "htaccess"],
 }
 
 # Weights of the final linear combination; the tag score weighs 1.

@@ -18,6 +18,11 @@ from threadloom.operators.ranking import rank_of_first, weight_rank
 from threadloom.operators.rerank import all_features, weighed
 from threadloom.operators.selection import askable
 from threadloom.session import placed, written
+from threadloom.sources.models import TagModel
+
+
+#: (questions with tag and vector, stored vectors, k) to (qid, tag, comment_id, distances).
+Search = Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
 def thread_vectors(posts: DataFrame, text: str, tag: Column, words: DataFrame, idf: DataFrame, dim: int) -> DataFrame:
@@ -42,26 +47,41 @@ def question_vectors(questions: DataFrame, words: DataFrame, idf: DataFrame, dim
     return mean_vectors(cleaned, ["qid"], "question", weighted_words(words, idf), dim)
 
 
+def exact_search(metric: str = "angular") -> Search:
+    """The search of ``answer_questions`` over all vectors of the asked tags."""
+    return lambda asked, vectors, k: nearest(asked, vectors, k, metric, group="tag")
+
+
 def answer_questions(
     questions: DataFrame, posts: DataFrame, vectors: DataFrame, words: DataFrame, idf: DataFrame, dim: int,
-    k: int = C.TOP_NEIGHBOURS, metric: str = "angular",
+    k: int = C.TOP_NEIGHBOURS, metric: str = "angular", search: Search | None = None,
 ) -> DataFrame:
     """Ranked answers to every question, best weight first; ``rank`` counts from 1 per question.
 
     ``questions`` is (qid, question, predicted) with ``predicted`` an array of (tag, score) from the
-    classifier. Only the vectors of those tags are searched. The found candidates are written once,
+    classifier. Only the vectors of those tags are searched, by ``search``: exactly if none is given,
+    or for instance by ``approximate_nearest``. The found candidates are written once,
     since every feature reads them again.
     """
     questions = askable(questions)
     asked = question_vectors(questions, words, idf, dim)
     tags = questions.select("qid", F.explode("predicted.tag").alias("tag"))
-    neighbours = nearest(asked.join(tags, "qid"), vectors, k, metric, group="tag")
+    neighbours = (search or exact_search(metric))(asked.join(tags, "qid"), vectors, k)
     found = written(found_answers(neighbours, posts), "candidates")
     cleaned = questions.select("qid", search_text(F.col("question")).alias("question"), "predicted")
     ranked = weight_rank(weighed(all_features(found.drop("combined_comments"), cleaned), cleaned))
     return ranked.join(found.select("qid", "comment_id", "combined_comments"), ["qid", "comment_id"])
 
 
+def answer_raw_questions(
+    questions: DataFrame, model: TagModel, posts: DataFrame, vectors: DataFrame, words: DataFrame, idf: DataFrame,
+    dim: int, k: int = C.TOP_NEIGHBOURS, metric: str = "angular", search: Search | None = None,
+) -> DataFrame:
+    """Question texts in, ranked answers out: the (stored) model predicts the tags that are searched."""
+    predicted = model.predict(askable(questions)).select("qid", "question", "predicted")
+    return answer_questions(predicted, posts, vectors, words, idf, dim, k, metric, search)
+
+
 def answer_topic_questions(
     questions: DataFrame, posts: DataFrame, vectors: DataFrame, words: DataFrame, idf: DataFrame, dim: int,
     k: int = C.TOP_NEIGHBOURS, metric: str = "angular",

@@ -31,6 +31,18 @@ def spark_schema(fields: Fields) -> T.StructType:
     return T.StructType([T.StructField(name, KINDS[kind][0]) for name, kind in fields])
 
 
+#: Rows per Arrow batch: texts are long, and two tasks share an executor's memory.
+BATCH_ROWS = 2000
+
+
+def _small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session's Arrow batches are made smaller unless the user has chosen a size."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def _array(values: Sequence | pa.Array, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
 
@@ -60,7 +72,7 @@ def with_computed(
                 [*[batch.column(i) for i in range(len(kept))], *made], names=[*kept, *names]
             )
 
-    return source.mapInArrow(run, schema)
+    return _small_batches(source).mapInArrow(run, schema)
 
 
 def mapped(
@@ -80,7 +92,7 @@ def mapped(
                     [_array(values, f.type) for values, f in zip(found, schema)], schema=schema
                 )
 
-    return df.select(*inputs).mapInArrow(run, spark_schema(fields))
+    return _small_batches(df).select(*inputs).mapInArrow(run, spark_schema(fields))
 
 
 def by_size(sizes: Sequence[int], most: int) -> Iterator[slice]:

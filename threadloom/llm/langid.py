@@ -20,7 +20,8 @@ from threadloom.llm.common import by_size, mapped, with_computed
 UNKNOWN = "und"
 #: Unit vectors are summed as integers of this scale, so a sum doesn't depend on its order.
 SCALE = 1 << 20
-CHARS, GRAMS = 1 << 20, 1 << 13
+#: Characters and distinct trigrams per block of work, which bound a task's memory.
+CHARS, GRAMS = 1 << 19, 1 << 11
 
 
 def _letter_vectors(code: int, dim: int) -> np.ndarray:

@@ -23,7 +23,7 @@ from threadloom.llm.common import by_size, mapped
 
 #: Characters per block, pieces per index (small enough for a processor's cache), and how many words, pieces and pairs a task remembers from earlier blocks;
 #: the latter change speed only.
-BLOCK, PIECES, WORDS_KEPT, PIECES_KEPT, PAIRS_KEPT = 1 << 22, 1 << 13, 400_000, 300_000, 1 << 20
+BLOCK, PIECES, WORDS_KEPT, PIECES_KEPT, PAIRS_KEPT = 1 << 22, 1 << 13, 800_000, 600_000, 1 << 20
 #: White space as the rank files' pattern means it; Python's own set has four control characters more.
 SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 

@@ -13,7 +13,6 @@ from threadloom.operators import models as M
 from threadloom.operators.neighbours import nearest
 from threadloom.operators.selection import csv_questions_as_posts
 from threadloom.plans import corpus as P
-from threadloom.plans.answers import answer_raw_questions
 from threadloom.session import scratch_path
 from threadloom.sources.dumps import posts_dump as read_posts_dump
 from threadloom.sources.models import TagModel, load_tag_model, save_tag_model
@@ -105,21 +104,6 @@ def s12_saved(spark, sf):
     return both.agg(F.count("*").alias("rows"), F.every(F.col("predicted") == F.col("again")).alias("same"))
 
 
-@query("p05_answers_from_text", "SELECT item_id AS qid, TRUE AS numbered, TRUE AS falling FROM benchmark WHERE length(trim(text)) > 0")
-def p05_raw(spark, sf):
-    """Raw questions through a stored classifier to ranked answers."""
-    path = scratch_path(spark, "model")
-    save_tag_model(_tag_model(spark, sf), spark, path)
-    ranked = answer_raw_questions(
-        V.questions(spark, sf).select("qid", "question"), load_tag_model(spark, path), V.posts(spark, sf), V.thread_vectors(spark, sf),
-        V.word_vectors(spark, sf), V.idf(spark, sf), V.DIM)
-    rows = F.sort_array(F.collect_list(F.struct("rank", "final_weight")))  # at most k per tag of a question
-    lists = ranked.groupBy("qid").agg(rows.alias("r"))
-    numbered = F.col("r")["rank"] == F.sequence(F.lit(1), F.size("r"))
-    falling = F.forall(F.sequence(F.lit(1), F.size("r") - 1), lambda i: F.get(F.col("r"), i)["final_weight"] <= F.get(F.col("r"), i - 1)["final_weight"])
-    return lists.select("qid", numbered.alias("numbered"), F.when(F.size("r") < 2, True).otherwise(falling).alias("falling"))
-
-
 @query("m07_boosted_classifier", JUDGED)
 def m07(spark, sf):
     """Few terms and shallow trees keep the registered run short; the operator's defaults are the full ones."""

@@ -144,3 +144,34 @@ def test_common_words_by_brute_force():
             for j, q in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if p == q else max(table[i][j + 1], table[i + 1][j])
         assert substring.common(np.array(a, np.uint64), np.array(b, np.uint64)) == table[-1][-1]
+
+
+def test_repeats_survive_seeds_that_stand_in_other_documents(spark):
+    rng = random.Random(8)
+    rows, want = [], set()
+    for i in range(12):
+        shared = text_of(rng, 55).split()
+        grams = [" ".join(shared[j : j + 6]) for j in range(0, 50, 3)]
+        rng.shuffle(grams)
+        base = 100 * i
+        rows += [(base + j, f"{text_of(rng, 20)} {g} {text_of(rng, 20)}") for j, g in enumerate(grams)]  # before both
+        rows += [(base + 50, f"{text_of(rng, 30)} {' '.join(shared)} {text_of(rng, 30)}")]
+        if i % 2:  # and between the two
+            rows += [(base + 55 + j, f"{text_of(rng, 20)} {g} {text_of(rng, 20)}") for j, g in enumerate(grams)]
+        rows += [(base + 90, f"{text_of(rng, 10)} {' '.join(shared)} {text_of(rng, 10)}")]
+        want |= {(base + 50, 30, 85), (base + 90, 10, 65)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = substring.passages(written(substring.pieces(docs), "pieces")).collect()
+    assert {(r["doc_id"], r["start"], r["end"]) for r in spans} == want
+
+
+def test_previous_holders_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = sorted({(rng.choice([1, 1, 1, 2, 3, rng.randrange(1000)]), rng.randrange(400)) for _ in range(900)})
+    seeds = spark.createDataFrame([(s, d, d % 7, 1) for s, d in rows], "seed long, doc_id long, pos int, first int")
+    found = {(r["doc_id"], r["first_id"], r["before_id"], r["first_pos"], r["before_pos"]) for r in substring._links(seeds).collect()}
+    holders = {}
+    for s, d in rows:
+        holders.setdefault(s, []).append(d)
+    want = {(d, h[0], c, h[0] % 7, c % 7) for h in holders.values() for c, d in zip(h, h[1:])}
+    assert found == want

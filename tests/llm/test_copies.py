@@ -175,3 +175,24 @@ def test_previous_holders_by_brute_force(spark):
         holders.setdefault(s, []).append(d)
     want = {(d, h[0], c, h[0] % 7, c % 7) for h in holders.values() for c, d in zip(h, h[1:])}
     assert found == want
+
+
+@pytest.mark.parametrize("identity", [0.8, 0.85, 0.9])
+def test_edited_passages_are_found(spark, identity):
+    rng = random.Random(int(identity * 100))
+    rows, places = [], {}
+    for i in range(60):
+        n = rng.choice([50, 60, 80])
+        shared = text_of(rng, n).split()
+        inner = range(1, n - 1)
+        changed = rng.sample(inner, int(n * (1 - identity) + 1e-9))
+        if i % 3 == 0:
+            step = round(1 / (1 - identity))
+            changed = [j for j in inner if j % step == step - 1]
+        edited = [f"changed{rng.random()}" if j in changed else w for j, w in enumerate(shared)]
+        rows += [(2 * i, f"{text_of(rng, 30)} {' '.join(shared)} {text_of(rng, 30)}"), (2 * i + 1, f"{text_of(rng, 20)} {' '.join(edited)} {text_of(rng, 20)}")]
+        places[2 * i + 1] = (20, 20 + n, 2 * i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in substring.passages(written(substring.pieces(docs), "pieces")).collect() if r["copied"]}
+    missed = {d for d, (a, b, source) in places.items() if d not in found or found[d]["source_id"] != source or min(b, found[d]["end"]) - max(a, found[d]["start"]) < 50}
+    assert not missed

@@ -196,3 +196,19 @@ def test_edited_passages_are_found(spark, identity):
     found = {r["doc_id"]: r for r in substring.passages(written(substring.pieces(docs), "pieces")).collect() if r["copied"]}
     missed = {d for d, (a, b, source) in places.items() if d not in found or found[d]["source_id"] != source or min(b, found[d]["end"]) - max(a, found[d]["start"]) < 50}
     assert not missed
+
+
+def test_phrases_of_several_documents_make_no_passage(spark):
+    rng = random.Random(9)
+    phrases = [text_of(rng, 12) for _ in range(6)]
+    rows = [(i, f"{text_of(rng, 20)} {p} {text_of(rng, 20)}") for i, p in enumerate(phrases)]
+    rows += [(10, f"{text_of(rng, 20)} {' '.join(phrases)} {text_of(rng, 20)}"), (11, " ".join(phrases))]
+    first = text_of(rng, 60).split()
+    rows += [(20, " ".join(first))] + [(21 + i, f"{text_of(rng, 20)} {' '.join(first[i * 12 : i * 12 + 12])} {text_of(rng, 20)}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = written(substring.pieces(docs), "pieces")
+    assert {(r["doc_id"], r["start"], r["end"]) for r in substring.passages(found).collect()} == {(10, 20, 92), (11, 0, 72)}
+    alone = docs.where("doc_id <> 11")
+    found = written(substring.pieces(alone), "pieces")
+    assert substring.passages(found).count() == 0
+    assert {tuple(r) for r in substring.without_copies(alone, found).collect()} == {r for r in rows if r[0] != 11}

@@ -120,3 +120,18 @@ def test_licenses_of_planted_and_odd_texts(spark, odd_docs, no_docs):
     for words in (["mit"], []):
         assert licenses.starts_of([w.encode() for w in words], [b"mit", b"license"]) == []
     assert np.isfinite(list(licenses.word_idf(found, index).values())).all()
+
+
+def test_every_notice_of_a_file_is_labelled(spark):
+    index = licenses.build_index()
+    notices = [text for text, _ in licenses.TEMPLATES.values()]
+    everything = "\n\n".join(notices)
+    alone = [(i, f"Notice. {text}.") for i, text in enumerate(notices)]
+    mit = [(20 + i, licenses.TEMPLATES["mit"][0]) for i in range(30)]
+    docs = spark.createDataFrame([*alone, *mit, (100, everything)], "doc_id long, text string")
+    found = licenses.hits(docs, index).cache()
+    marked = {r["doc_id"]: r["labels"].split(",") for r in licenses.labelled(found, index, licenses.word_idf(found, index)).collect()}
+    assert set(marked[100]) >= set(licenses.TEMPLATES)
+    assert all(name in marked[i] for i, name in enumerate(licenses.TEMPLATES)) and "mit" in marked[25]
+    same = found.where("doc_id between 20 and 49")
+    assert {r["labels"] for r in licenses.labelled(same, index, licenses.word_idf(same, index)).collect()} == {"mit"}

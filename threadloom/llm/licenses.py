@@ -1,7 +1,7 @@
 """License scans with a positional index of rare words.
 
 License templates are indexed by word: postings of (template, position). A file is looked up by its
-license words of highest IDF only; a posting and a place in the file agree on where the template
+words of highest IDF per template only; a posting and a place in the file agree on where the template
 would start, and starts that enough rare words agree on are candidates. A template counts if its
 mandatory phrases stand in the file near such a start. IDF comes from all files.
 """
@@ -157,12 +157,15 @@ def _phrases(index: Index) -> list[list[bytes]]:
     return [list(p) for p in sorted({tuple(p) for phrases in index.mandatory.values() for p in phrases})]
 
 
-def word_idf(found: DataFrame, index: Index) -> dict[int, float]:
-    """IDF of every license word over all files; at most one number per template word is collected."""
+def word_idf(found: DataFrame, index: Index, floor: float = 0.01) -> dict[int, float]:
+    """IDF of every license word over all files; at most one number per template word is collected.
+
+    A word in every file still counts as ``floor``, so a license in all files keeps its votes.
+    """
     rows = found.select(F.explode(F.array_distinct("names")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
     total = found.count()
     seen = {r["w"]: r["n"] for r in rows}
-    return {i: math.log((total + 1) / (seen.get(i, 0) + 1)) for i in range(len(index.postings))}
+    return {i: max(floor, math.log((total + 1) / (seen.get(i, 0) + 1))) for i in range(len(index.postings))}
 
 
 def labelled(
@@ -170,8 +173,8 @@ def labelled(
 ) -> DataFrame:
     """``found`` (``hits``) with base_labels, labels, first_word, last_word, n_base and score.
 
-    The ``rarest`` license words of a file by IDF (ties: the earlier template word; every place of
-    them counts) vote for template starts, weighted by IDF. A start with at least ``share`` of the
+    The ``rarest`` words of each template in a file by IDF (ties: the earlier template word; every place
+    of them counts) vote for its starts, weighted by IDF, however many other notices the file has. A start with at least ``share`` of the
     IDF of its template's telling words among them is a candidate; the template is a label if all its
     mandatory phrases start within its length around there. Base phrases are looked up by their rarest
     word; a place counts if the postings of all words agree on it. The score is the best candidate's
@@ -182,6 +185,10 @@ def labelled(
     needed = _phrases(index)
     must = {name: [needed.index(p) for p in map(list, phrases_)] for name, phrases_ in index.mandatory.items()}
     base = {name: [words.index(w) for w in phrase] for name, phrase in index.phrases.items()}
+    telling: dict[str, set[int]] = {}
+    for n, posted in enumerate(postings):
+        for name, _ in posted:
+            telling.setdefault(name, set()).add(n)
     rarest_of = {name: max(range(len(p)), key=lambda j: (idf[p[j]], -j)) for name, p in base.items()}
 
     def phrase_places(places: list[int], numbers: list[int]) -> list[tuple[str, int]]:
@@ -196,16 +203,14 @@ def labelled(
         return out
 
     def candidates(places: list[int], numbers: list[int]) -> dict[tuple[str, int], float]:
-        chosen = set(sorted(set(numbers), key=lambda i: (-idf[i], i))[:rarest])
+        present = set(numbers)
+        chosen = {name: set(sorted(present & own, key=lambda i: (-idf[i], i))[:rarest]) for name, own in telling.items()}
         weight: Counter = Counter()
         for at, n in zip(places, numbers):
-            if n in chosen:
-                for name, place in postings[n]:
+            for name, place in postings[n]:
+                if n in chosen[name]:
                     weight[name, at - place] += idf[n]
-        full: Counter = Counter()
-        for n in chosen:
-            for name, _ in postings[n]:
-                full[name] += idf[n]
+        full = {name: sum(idf[n] for n in own for posted, _ in postings[n] if posted == name) for name, own in chosen.items()}
         return {key: w / full[key[0]] for key, w in weight.items() if full[key[0]] > 0 and w >= share * full[key[0]]}
 
     def make() -> Callable:

@@ -221,3 +221,11 @@ def test_stages_on_an_empty_table(spark, staged):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, "none"), name)
         assert docs.count() == 0
+
+
+def test_substring_stage_drops_only_what_a_cut_emptied(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{passage} more"), (2, passage), (3, " \n"), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.substring_dedup(spark, docs, "none")
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {r for r in rows if r[0] != 2}

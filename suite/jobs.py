@@ -132,7 +132,7 @@ def m09(spark, sf):
 @query("m10_document_vectors", "SELECT doc_id AS qid, count(*) OVER () * 0 + 3 AS found FROM documents")
 def m10(spark, sf):
     docs = V.texts(spark, sf).select(F.col("doc_id").alias("comment_id"), search_tokens(F.col("text")).alias("tokens"))
-    model = M.fit_word_vectors(docs, dim=50, epochs=1)
+    model = M.fit_word_vectors(docs)
     stored = V.written(M.document_vectors(model, docs, "comment_id"), "docvecs")
     found = nearest(stored.withColumnRenamed("comment_id", "qid"), stored, 3, "cosine")
     return found.groupBy("qid").agg(F.count("*").alias("found"))

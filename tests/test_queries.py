@@ -32,3 +32,19 @@ def test_query_equals_its_twin(spark, duck, name):
     columns = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical(columns, cursor.fetchall())
+
+
+def test_document_vectors_are_trained_in_full(spark, monkeypatch):
+    from suite import jobs
+
+    used = []
+
+    def fit(texts, **settings):
+        used.append(settings)
+        raise InterruptedError
+
+    monkeypatch.setattr(jobs.V, "texts", lambda *_: spark.createDataFrame([(1, "some words")], "doc_id long, text string"))
+    monkeypatch.setattr(jobs.M, "fit_word_vectors", fit)
+    with pytest.raises(InterruptedError):
+        jobs.m10(spark, "none")
+    assert used == [{}]

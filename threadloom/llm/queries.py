@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, langid, licenses, mtree, packing, pii, quality, rules, simhash, substring
+from threadloom.llm import bpe, langid, licenses, mtree, packing, pii, quality, repair, reshard, rules, simhash, substring, trie
 from threadloom.llm.common import remainder
+from threadloom.llm.ordered import digests
 from threadloom.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +106,40 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+@query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve shards by checksum of the text, so copies lie together, become sixteen of equal bytes."""
+    text = F.coalesce("text", F.lit(""))
+    size = F.octet_length(text).cast("bigint") + 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", size.alias("bytes"), F.crc32(text).alias("text_crc32"))
+    old = (F.col("text_crc32") % 12).cast("int")
+    found = reshard.resharded(docs, old, F.col("bytes"), weights=[1] * 16)
+    nothing = F.lit(None).cast("int")
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", nothing.alias("grown_shard"))
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(trie.ordered_turns(table(spark, sf_dir, "conversations")), "ordered")
+    shared, base = F.crc32(F.col("conv_id").cast("string")) % 6, F.col("conv_id") - F.col("conv_id") % 100
+    return trie.rolled_up(*trie.rebuilt(turns, shared, base, most=5))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = repair.ordered_rows(repair.damaged(conversations))
+    found = written(repair.solved(written(repair.blocks_of(rows), "blocks")), "solved")
+    line = F.concat("role", F.lit(":"), "text").alias("line")
+    hashes = digests(repair.repaired(rows, found).select("conv", "at", "sub", line), ["conv"], ["at", "sub"], "line", "\n", "repaired_sha256")
+    gaps = rows.groupBy("conv").agg((F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn")).alias("gaps"))
+    ids = conversations.select("conv_id").distinct().withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    whole = ids.join(gaps, "conv", "left").join(repair.summaries(found), "conv", "left").join(hashes, "conv", "left")
+    counts = [F.coalesce(F.col(n).cast("bigint"), F.lit(0).cast("bigint")).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("repaired_sha256", F.lit(trie.EMPTY_SHA256)).alias("repaired_sha256")
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
 ORACLES["op3_exact_top_k"] = """
 WITH v AS (
   SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings

@@ -212,3 +212,26 @@ def test_phrases_of_several_documents_make_no_passage(spark):
     found = written(substring.pieces(alone), "pieces")
     assert substring.passages(found).count() == 0
     assert {tuple(r) for r in substring.without_copies(alone, found).collect()} == {r for r in rows if r[0] != 11}
+
+
+def test_fingerprint_of_a_very_long_text_is_bounded_in_memory(monkeypatch):
+    import tracemalloc
+
+    text = " ".join(f"w{i % 9973}x{i % 31}" for i in range(2_400_000))
+    assert len(text) > 20_000_000
+    tracemalloc.start()
+    long = simhash.fingerprint(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(text)
+    monkeypatch.setattr(simhash, "SLICE", 1 << 30)
+    assert simhash.fingerprint(text) == long
+
+
+def test_fingerprint_does_not_depend_on_its_slices(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "Bc", "é", " ", "\n", "  ", "x\x0by"]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    whole = [simhash.fingerprint(t) for t in texts]
+    for size in (1, 3, 7, 16):
+        monkeypatch.setattr(simhash, "SLICE", size)
+        assert [simhash.fingerprint(t) for t in texts] == whole

@@ -24,28 +24,43 @@ from threadloom.session import written
 SEED = 42
 
 
+#: Bytes of a text whose words and shingles are held at once.
+SLICE = 1 << 18
+
+
+def _words(data: bytes, low: int, high: int) -> list[bytes]:
+    """The words of ``data`` that start from ``low`` to before ``high``; the last may end behind it."""
+    if low and not data[low - 1 : low].isspace():  # the word before ``low`` goes on
+        while low < min(high, len(data)) and not data[low : low + 1].isspace():
+            low += 1
+        if low == high:
+            return []
+    while high < len(data) and not data[high - 1 : high].isspace() and not data[high : high + 1].isspace():
+        high += 1
+    return data[low:high].split()
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """64-bit SimHash of the word shingles of ``text`` (ASCII lower-cased, ASCII white space).
 
     A bit is set if more than half of the shingles' XXH64 values have it, repeats counted. Fewer
     words than ``shingle`` make one shingle; null, empty and blank texts give 0.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    width = min(shingle, len(words))
-    starts = np.concatenate(([0], ends[: len(words) - width] + 1)).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        [digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64, len(starts)
-    )
-    ones = np.zeros(64, np.int64)
-    for low in range(0, len(hashes), 1 << 16):
-        part = hashes[low : low + (1 << 16)]
-        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    digest, ones, count, kept = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    for low in range(0, len(data), SLICE):
+        words = _words(data, low, low + SLICE)
+        known, kept = len(kept), kept + words
+        if not words:
+            continue
+        grams = [b" ".join(kept[i : i + shingle]) for i in range(max(0, known - shingle + 1), len(kept) - shingle + 1)]
+        hashes = np.fromiter([digest(g, SEED) for g in grams], np.uint64, len(grams))
+        ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        count += len(grams)
+        kept = kept[-shingle:] if count else kept
+    if not count:
+        return digest(b" ".join(kept), SEED) if kept else 0
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:

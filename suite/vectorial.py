@@ -10,6 +10,7 @@ from suite.registry import query
 from threadloom.functions import constants as C
 from threadloom.functions.text import alphanumeric_text, search_text
 from threadloom.operators import embed as E
+from threadloom.operators import index as X
 from threadloom.operators import joins as J
 from threadloom.operators import metrics as M
 from threadloom.operators import neighbours as N
@@ -126,7 +127,28 @@ def _tagged(spark, sf):
 
 @query("w03_neighbours_per_tag", f"WITH {TAGGED} {nearest_sql('angular', 'tagged', 'thread_vectors', 'qid', 10)}")
 def w03(spark, sf):
-    return N.nearest(_tagged(spark, sf), V.thread_vectors(spark, sf), 10, "angular", group="tag")
+    return X.search(_tagged(spark, sf), V.thread_index(spark, sf), 10)
+
+
+@query("v07_stored_blocks", nearest_sql("angular", "labelled_vectors", "labelled_vectors", "comment_id", 5))
+def v07_stored(spark, sf):
+    asked = V.labelled_vectors(spark, sf).withColumnRenamed("comment_id", "qid")
+    return X.search(asked, V.labelled_index(spark, sf), 5)
+
+
+@query("v08_stored_index", """WITH n AS (SELECT tag, count(*) AS n FROM labelled_vectors GROUP BY tag)
+SELECT tag, n * least(6, n) AS rows, TRUE AS recalled, TRUE AS few_read FROM n""")
+def v08_stored(spark, sf):
+    """Rows per tag, whether nine tenths of the five nearest others are found, and a tenth of a tag read at most (six at least)."""
+    asked, index = V.labelled_vectors(spark, sf).withColumnRenamed("comment_id", "qid"), V.labelled_index(spark, sf)
+    found = written(X.coded_search(asked, index, 6), "coded")
+    exact = X.search(asked, index, 6).where("qid <> comment_id").select("qid", "tag", "comment_id")
+    hits = found.select("qid", "tag", "comment_id", F.lit(1).alias("hit"))
+    share = exact.join(hits, ["qid", "tag", "comment_id"], "left").groupBy("tag").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
+    rows = found.groupBy("tag").agg(F.count(F.lit(1)).alias("rows"), F.max("scored").alias("read"))
+    sizes = V.labelled_vectors(spark, sf).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    few = F.col("read") <= F.greatest(F.lit(6), F.floor(F.col("n") * 0.1))
+    return rows.join(share, "tag").join(sizes, "tag").select("tag", "rows", (F.col("share") >= 0.9).alias("recalled"), few.alias("few_read"))
 
 
 @query("v08_approximate_neighbours", """WITH n AS (SELECT tag, count(*) AS n FROM labelled_vectors GROUP BY tag)
@@ -160,7 +182,7 @@ SELECT s.tag, s.probe AS comment_id, (1 + sum(CASE WHEN s.comment_id <> s.probe
 arg_min(s.comment_id, (-score, s.comment_id)) FILTER (WHERE s.comment_id <> s.probe) AS runner_up
 FROM s JOIN o ON s.tag = o.tag AND s.probe = o.probe GROUP BY 1, 2""")
 def w08(spark, sf):
-    return N.own_rank(V.title_vectors(spark, sf), V.thread_vectors(spark, sf))
+    return X.own_rank(V.title_vectors(spark, sf), V.thread_index(spark, sf), V.thread_vectors(spark, sf)).drop("scored")
 
 
 # --- candidate ranking and metrics ----------------------------------------------------------------
@@ -363,7 +385,8 @@ LISTS = """lists AS (SELECT parent_id, string_agg(comment || '::' || score::VARC
 
 def _topic(spark, sf, k=5):
     return Q.answer_topic_questions(
-        V.questions(spark, sf), V.posts(spark, sf), V.thread_vectors(spark, sf), V.word_vectors(spark, sf), V.idf(spark, sf), V.DIM, k)
+        V.questions(spark, sf), V.posts(spark, sf), None, V.word_vectors(spark, sf), V.idf(spark, sf), V.DIM, k,
+        search=Q.index_search(V.thread_index(spark, sf)))
 
 
 @query("p09_topic_answers", f"WITH {NEAR}, {LISTS} SELECT qid, comment_id, title, comment_parent, distances, tags, combined FROM cand JOIN lists ON parent_id = comment_id")
@@ -425,7 +448,8 @@ weighed AS (SELECT s.qid, s.comment_id, s.distances, (1 - d) * 0.92 + t1 * 0.74
   row_number() OVER (PARTITION BY qid ORDER BY round(weight, 6) DESC, comment_id)::INTEGER AS rank FROM weighed JOIN lists ON parent_id = comment_id""")
 def p05(spark, sf):
     found = Q.answer_questions(
-        V.predicted(spark, sf), V.posts(spark, sf), V.thread_vectors(spark, sf), V.word_vectors(spark, sf), V.idf(spark, sf), V.DIM)
+        V.predicted(spark, sf), V.posts(spark, sf), None, V.word_vectors(spark, sf), V.idf(spark, sf), V.DIM,
+        search=Q.index_search(V.thread_index(spark, sf)))
     return found.select(
         "qid", "comment_id", "distances", "final_weight", "rank",
         F.array_join("combined_comments", "\n--").alias("combined"))

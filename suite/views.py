@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from suite import sqltext as S
 from threadloom.functions.text import search_text, search_tokens
 from threadloom.functions.vectors import as_doubles
-from threadloom.session import written
+from threadloom.session import scratch_path, written
 from threadloom.sources.tables import balanced
+from threadloom.operators import index as vector_index
 from threadloom.operators.embed import mean_vectors, weighted_words
 from threadloom.operators.tfidf import term_idf
 from threadloom.plans.answers import question_vectors as vectors_of_questions
@@ -165,6 +166,30 @@ def thread_vectors(spark, sf):
     return vectors_of_threads(posts(spark, sf), "comment", lang, word_vectors(spark, sf), idf(spark, sf), DIM)
 
 
+def stored_index(build):
+    """Write a vector index once per session; every query loads it from its folder."""
+    folders: dict[tuple[str, str], str] = {}
+
+    def get(spark: SparkSession, sf: str):
+        key = (spark.sparkContext.applicationId, sf)
+        if key not in folders:
+            folders[key] = scratch_path(spark, build.__name__)
+            vector_index.build(build(spark, sf), folders[key])
+        return vector_index.load(spark, folders[key])
+
+    return get
+
+
+@stored_index
+def thread_index(spark, sf):
+    return thread_vectors(spark, sf)
+
+
+@stored_index
+def labelled_index(spark, sf):
+    return labelled_vectors(spark, sf)
+
+
 def question_vectors(spark, sf):
     return vectors_of_questions(questions(spark, sf), word_vectors(spark, sf), idf(spark, sf), DIM)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import constants as C
 from threadloom.functions.text import search_text
 from threadloom.functions.vectors import cosine
+from threadloom.operators import index as stored_index
 from threadloom.operators.aggregates import combined_answers
 from threadloom.operators.embed import mean_vectors, weighted_words
 from threadloom.operators.metrics import ranking_metrics
@@ -52,15 +53,24 @@ def exact_search(metric: str = "angular") -> Search:
     return lambda asked, vectors, k: nearest(asked, vectors, k, metric, group="tag")
 
 
+def index_search(index: stored_index.VectorIndex, coded: bool = False) -> Search:
+    """The search of ``answer_questions`` in a stored index, whose vectors need not be given again.
+
+    Exact by the bounds of its cells, or with ``coded`` by codes and a few vectors.
+    """
+    look = stored_index.coded_search if coded else stored_index.search
+    return lambda asked, vectors, k: look(asked, index, k).drop("scored")
+
+
 def answer_questions(
-    questions: DataFrame, posts: DataFrame, vectors: DataFrame, words: DataFrame, idf: DataFrame, dim: int,
+    questions: DataFrame, posts: DataFrame, vectors: DataFrame | None, words: DataFrame, idf: DataFrame, dim: int,
     k: int = C.TOP_NEIGHBOURS, metric: str = "angular", search: Search | None = None,
 ) -> DataFrame:
     """Ranked answers to every question, best weight first; ``rank`` counts from 1 per question.
 
     ``questions`` is (qid, question, predicted) with ``predicted`` an array of (tag, score) from the
     classifier. Only the vectors of those tags are searched, by ``search``: exactly if none is given,
-    or for instance by ``approximate_nearest``. The found candidates are written once,
+    or for instance by ``approximate_nearest`` or ``index_search``. The found candidates are written once,
     since every feature reads them again.
     """
     questions = askable(questions)
@@ -83,13 +93,13 @@ def answer_raw_questions(
 
 
 def answer_topic_questions(
-    questions: DataFrame, posts: DataFrame, vectors: DataFrame, words: DataFrame, idf: DataFrame, dim: int,
-    k: int = C.TOP_NEIGHBOURS, metric: str = "angular",
+    questions: DataFrame, posts: DataFrame, vectors: DataFrame | None, words: DataFrame, idf: DataFrame, dim: int,
+    k: int = C.TOP_NEIGHBOURS, metric: str = "angular", search: Search | None = None,
 ) -> DataFrame:
     """The single-topic search: ``questions`` is (qid, question, tag); no classifier, no re-rank."""
     questions = askable(questions)
     asked = question_vectors(questions, words, idf, dim)
-    neighbours = nearest(asked.join(questions.select("qid", "tag"), "qid"), vectors, k, metric, group="tag")
+    neighbours = (search or exact_search(metric))(asked.join(questions.select("qid", "tag"), "qid"), vectors, k)
     return found_answers(neighbours, posts)
 
 

@@ -41,7 +41,7 @@ def main() -> None:
         times[name] = round(time.time() - start, 3)
         print(name, times[name], file=sys.stderr, flush=True)
 
-    timed("build_index", lambda: [view(spark, sf) for view in (V.word_vectors, V.idf, V.thread_vectors, V.thread_index)])
+    timed("build_index", lambda: [view(spark, sf) for view in (V.word_vectors, V.idf, V.thread_vectors, V.thread_index, V.doc_weights)])
     for name in names:
         timed(name, lambda: QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save())
     questions = V.questions(spark, sf).count()

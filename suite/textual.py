@@ -9,6 +9,7 @@ from suite import views as V
 from suite.registry import query
 from threadloom.functions import constants as C
 from threadloom.functions import text as T
+from threadloom.operators.fuzzy import best_matches
 from threadloom.operators.aggregates import token_vocabulary
 from threadloom.operators.encode import numericalised, padded_sequences
 from threadloom.operators.models import canonical_tags, rare_as_other
@@ -162,6 +163,19 @@ def t19(spark, sf):
     return top_k(scored, ["qid"], [F.desc("score"), F.asc("pos")], 3)
 
 
+FIRST_LINES = f"""lines AS (SELECT doc_id, {S.search_text("line")} AS line FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents) AS f)"""
+
+
+@query("t19_corpus_matches", f"""WITH {FIRST_LINES}, pairs AS (SELECT x.doc_id AS qid, y.doc_id, x.line AS a, y.line AS b FROM lines x JOIN lines y
+  ON x.doc_id % 20 = 0 AND abs(length(x.line) - length(y.line)) <= 0.2 * greatest(length(x.line), length(y.line)) + 1e-9),
+scored AS (SELECT qid, doc_id, round({SIMILARITY}, 6) AS score FROM pairs)
+SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score >= 0.8) WHERE rank <= 5""")
+def t19_corpus(spark, sf):
+    """The five first lines of all documents most similar to those of every twentieth."""
+    lines = V.texts(spark, sf).select("doc_id", T.search_text(F.get(F.split("text", "\n"), F.lit(0))).alias("text"))
+    return best_matches(lines.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid"), lines, 5, 0.8, item="doc_id")
+
+
 @query("t20_char_ngrams", f"""WITH {S.grams_cte("g", "doc_id", "documents", "text")} SELECT gram, count(*) AS n FROM g GROUP BY gram""")
 def t20(spark, sf):
     grams = V.texts(spark, sf).select(F.explode(T.char_ngrams(F.col("text"))).alias("gram"))

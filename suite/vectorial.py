@@ -327,8 +327,8 @@ def v15(spark, sf):
 
 @query("w05_most_similar", f"WITH {SIMILAR} SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sims) WHERE rank <= 5")
 def w05(spark, sf):
-    asked = I.term_weights(_question_texts(spark, sf), ["qid"], "text", V.idf(spark, sf))
-    return I.most_similar(asked, _doc_weights(spark, sf), 5, item="doc_id")
+    asked = written(I.term_weights(_question_texts(spark, sf), ["qid"], "text", V.idf(spark, sf)), "asked")
+    return I.most_similar(asked, V.doc_weights(spark, sf), 5, item="doc_id")
 
 
 @query("j13_aligned_vectors", f"""WITH cnt AS (SELECT term AS token, count(*) AS count FROM (SELECT unnest(tokens) AS term FROM doc_tokens) GROUP BY 1),

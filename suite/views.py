@@ -18,7 +18,7 @@ from threadloom.session import scratch_path, written
 from threadloom.sources.tables import balanced
 from threadloom.operators import index as vector_index
 from threadloom.operators.embed import mean_vectors, weighted_words
-from threadloom.operators.tfidf import term_idf
+from threadloom.operators.tfidf import term_idf, term_weights
 from threadloom.plans.answers import question_vectors as vectors_of_questions
 from threadloom.plans.answers import thread_vectors as vectors_of_threads
 
@@ -166,6 +166,13 @@ def thread_vectors(spark, sf):
     return vectors_of_threads(posts(spark, sf), "comment", lang, word_vectors(spark, sf), idf(spark, sf), DIM)
 
 
+@prepared
+def doc_weights(spark, sf):
+    """Term weights of the documents, kept like the index of a search engine."""
+    docs = texts(spark, sf).select("doc_id", search_text(F.col("text")).alias("text"))
+    return term_weights(docs, ["doc_id"], "text", idf(spark, sf))
+
+
 def stored_index(build):
     """Write a vector index once per session; every query loads it from its folder."""
     folders: dict[tuple[str, str], str] = {}

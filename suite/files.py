@@ -10,7 +10,9 @@ from threadloom.session import scratch_path
 from threadloom.sources import delimited as D
 from threadloom.sources import dumps as X
 from threadloom.sources import tables as B
-from threadloom.streaming.ingest import ingest_posts
+from threadloom.operators.selection import csv_answers_as_posts
+from threadloom.sources.parts import create_parted, load_parted, upsert_parted
+from threadloom.streaming.ingest import ingest_paired_posts, ingest_posts
 from suite import sqltext as S
 
 POST = "comment_id, parent_id, comment, title, CAST(date AS VARCHAR) AS date, score, tags"
@@ -146,3 +148,50 @@ def s13(spark, sf):
     posts.where("parent_id is not null").coalesce(1).write.mode("append").parquet(incoming)
     ingest_posts(spark, incoming, table, mark)
     return B.scan(spark, table).withColumn("date", F.col("date").cast("string"))
+
+
+PAIRED = """FROM posts p WHERE parent_id IS NULL AND comment_id % 12 <> 0 OR parent_id % 12 <> 0"""
+
+
+def _without_some_questions(spark, sf):
+    """Posts whose every third question is missing, so its replies are orphans."""
+    return V.posts(spark, sf).where("parent_id is not null or comment_id % 12 <> 0")
+
+
+@query("s13_paired_ingest", f"SELECT {POST} {PAIRED}")
+def s13_paired(spark, sf):
+    """Replies come before, with and after their questions; those whose question never comes stay out."""
+    incoming, table, waiting, mark = (scratch_path(spark, n) for n in ("incoming", "posts", "waiting", "checkpoint"))
+    posts = _without_some_questions(spark, sf)
+    waves = ["parent_id is not null and comment_id % 4 = 1", "parent_id is null and comment_id % 8 = 0 or comment_id % 4 = 2", "comment_id % 4 <> 1"]
+    for wave in waves:
+        posts.where(wave).repartition(3, "comment_id").write.mode("append").parquet(incoming)
+        ingest_paired_posts(spark, incoming, table, waiting, mark, width=1 << 8)
+    return load_parted(spark, table, B.POSTS).drop("part").withColumn("date", F.col("date").cast("string"))
+
+
+@query("u05_waiting_orphans", """SELECT p.comment_id, p.parent_id FROM posts p WHERE parent_id % 12 = 0""")
+def u05_waiting(spark, sf):
+    """The replies that a clean-up drops: they wait for a question that never came."""
+    incoming, table, waiting, mark = (scratch_path(spark, n) for n in ("incoming", "posts", "waiting", "checkpoint"))
+    _without_some_questions(spark, sf).repartition(3, "comment_id").write.parquet(incoming)
+    ingest_paired_posts(spark, incoming, table, waiting, mark, files_per_batch=2)
+    posts = load_parted(spark, table, B.POSTS)
+    return spark.read.parquet(waiting).select("comment_id", "parent_id").join(posts.select("comment_id"), "comment_id", "left_anti")
+
+
+BATCHES = """WITH both_sides AS (SELECT parent_id, comment_id, score FROM posts WHERE parent_id IS NOT NULL UNION ALL
+SELECT l_orderkey, 100000000 + l_orderkey * 10 + l_linenumber, l_suppkey % 7 - 1 FROM lineitem)
+SELECT parent_id, comment_id, score FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY score DESC, comment_id) AS r FROM both_sides) WHERE r = 1"""
+
+
+@query("u04_stored_upsert", BATCHES)
+def u04_stored(spark, sf):
+    """Three batches into a table of hashed buckets, the last one again."""
+    path = scratch_path(spark, "best")
+    stored = V.posts(spark, sf).where("parent_id is not null").select("parent_id", "comment_id", "score")
+    incoming = csv_answers_as_posts(V.csv_answers(spark, sf)).select("parent_id", "comment_id", "score")
+    create_parted(spark, path, stored.schema)
+    for batch in (stored, incoming.where("comment_id % 2 = 0"), incoming.where("comment_id % 2 = 1"), incoming.where("comment_id % 2 = 1")):
+        upsert_parted(batch, path, stored.schema)
+    return load_parted(spark, path, stored.schema).drop("part")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import scored_answer
-from threadloom.operators.ranking import top_k
+from threadloom.operators.ranking import best_per_key
 
 ID_SPAN = 65536
 
@@ -80,9 +80,9 @@ def combined_answers(parents: DataFrame, answers: DataFrame) -> DataFrame:
 def best_answer(found: DataFrame, *keys: str) -> DataFrame:
     """Highest-scoring answer row per parent, the lower answer id on ties.
 
-    Each task passes on one row per parent (window group limit); no task sorts bodies of others.
+    Only scores and ids are grouped; bodies are joined with the chosen ids.
     """
-    return top_k(found, [*keys, "parent_id"], [F.desc("score_comment"), F.asc("answer_id")], 1, "_rank").drop("_rank")
+    return best_per_key(found, [*keys, "parent_id"], "score_comment", "answer_id")
 
 
 def column_maxima(df: DataFrame, key: str = "parent_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators.ranking import top_k
+from threadloom.operators.ranking import best_per_key, one_per_key
 
 
 def all_posts(questions: DataFrame, answers: DataFrame) -> DataFrame:
@@ -22,11 +22,10 @@ def only_new(incoming: DataFrame, stored: DataFrame, key: str = "comment_id") ->
     """Incoming rows with a key not stored yet; of rows sharing a key one is kept.
 
     The kept one is the smallest by all its columns: arrival order does not exist in a distributed
-    table. Each task passes on one row per key (window group limit).
+    table. Only rows of repeated keys are sorted.
     """
     fresh = incoming.join(stored.select(key), key, "left_anti").select(*incoming.columns)
-    order = [F.asc(c) for c in fresh.columns if c != key]
-    return top_k(fresh, [key], order, 1, "_rank").select(*incoming.columns)
+    return one_per_key(fresh, [key], [F.asc(c) for c in fresh.columns if c != key])
 
 
 def appended(stored: DataFrame, incoming: DataFrame, key: str = "comment_id") -> DataFrame:
@@ -39,11 +38,10 @@ def upserted(stored: DataFrame, incoming: DataFrame, key: str = "parent_id", kee
 
     ``keep='lowest'`` is the literal rule of the original update, which replaced a stored answer
     when its score was higher than the new one; ``highest`` is what it was meant to do. Ties keep
-    the lower comment id. Each task passes on one row per key (window group limit).
+    the lower comment id. Only scores and ids are grouped; whole rows are joined with the chosen ones.
     """
     both = stored.unionByName(incoming)
-    towards = F.desc_nulls_last("score") if keep == "highest" else F.asc_nulls_last("score")
-    return top_k(both, [key], [towards, F.asc("comment_id")], 1, "_rank").select(*both.columns)
+    return best_per_key(both, [key], "score", "comment_id", keep == "highest").select(*both.columns)
 
 
 def without_orphans(replies: DataFrame) -> DataFrame:

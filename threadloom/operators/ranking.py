@@ -20,6 +20,38 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, position).where(F.col(rank) <= k)
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """One row per key: the first by ``order``.
+
+    Only rows of keys that repeat are sorted; all others are passed on as they are. ``df`` is read twice.
+    """
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    left, right = df.alias("l"), repeated.alias("r")
+    single = left.join(right, same, "left_anti").select("l.*")
+    chosen = top_k(left.join(right, same, "left_semi").select("l.*"), keys, order, 1, "_rank").drop("_rank")
+    return single.unionByName(chosen)
+
+
+def towards_of(score: str, highest: bool) -> Column:
+    """The score so that the best one is the least."""
+    return -F.col(score) if highest else F.col(score)
+
+
+def best_per_key(df: DataFrame, keys: Sequence[str], score: str, item: str, highest: bool = True) -> DataFrame:
+    """One row per key: the best score, the lower item on ties, null scores last.
+
+    Score and item of the best are found on their own columns, combined before the shuffle; whole rows
+    are only joined with them.
+    """
+    best = df.groupBy(*keys).agg(F.min(F.struct(F.isnull(score).alias("none"), towards_of(score, highest).alias("towards"), F.col(item).alias("item"))).alias("_b"))
+    left, right = df.alias("l"), best.alias("r")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    same += [F.col(f"l.{item}").eqNullSafe(F.col("r._b.item")), towards_of(f"l.{score}", highest).eqNullSafe(F.col("r._b.towards"))]
+    rest = [F.asc(c) for c in df.columns if c not in keys]
+    return one_per_key(left.join(right, same, "left_semi").select("l.*"), keys, rest)
+
+
 def full_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
     """Position of every row within its key, without bringing a key into one task.
 

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Frees shuffle files at the end of a statement, where Spark knows the setting.
+FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def build_session(app: str = "threadloom", cpus: int | str = "*", memory: str = "12g") -> SparkSession:
     """A local session for tests and benchmarks; on a cluster, spark-submit supplies the settings."""
     partitions = str(cpus if str(cpus).isdigit() else os.cpu_count() or 8)
@@ -51,13 +55,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What the write shuffled is given free when it ends, as nothing else reads it.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(FREES_SHUFFLES, None)
+    spark.conf.set(FREES_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREES_SHUFFLES, before) if before is not None else spark.conf.unset(FREES_SHUFFLES)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more; files elsewhere stay."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        root = shared_dir(table.sparkSession)
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            system = path.getFileSystem(context._jsc.hadoopConfiguration())
+            own = system.makeQualified(context._jvm.org.apache.hadoop.fs.Path(root)).toUri().getPath()
+            if path.toUri().getPath().startswith(f"{own.rstrip('/')}/"):
+                system.delete(path, True)
+
+
 def placed(df: DataFrame, *keys: str) -> DataFrame:
     """Rows placed by key over the full number of shuffle partitions.
 

@@ -168,7 +168,8 @@ def test_repeats_survive_seeds_that_stand_in_other_documents(spark):
 def test_previous_holders_by_brute_force(spark):
     rng = random.Random(6)
     rows = sorted({(rng.choice([1, 1, 1, 2, 3, rng.randrange(1000)]), rng.randrange(400)) for _ in range(900)})
-    seeds = spark.createDataFrame([(s, d, d % 7, 1) for s, d in rows], "seed long, doc_id long, pos int, first int")
+    cuts = [50, 100, 250]  # seed 1 is hot: its holders are dealt over four slices
+    seeds = spark.createDataFrame([(s, 1 + sum(d > c for c in cuts) if s == 1 else 0, d, d % 7) for s, d in rows], "seed long, slice int, doc_id long, pos int")
     found = {(r["doc_id"], r["first_id"], r["before_id"], r["first_pos"], r["before_pos"]) for r in substring._links(seeds).collect()}
     holders = {}
     for s, d in rows:
@@ -235,3 +236,29 @@ def test_fingerprint_does_not_depend_on_its_slices(monkeypatch):
     for size in (1, 3, 7, 16):
         monkeypatch.setattr(simhash, "SLICE", size)
         assert [simhash.fingerprint(t) for t in texts] == whole
+
+
+def test_words_hash_alike_whatever_the_pieces(monkeypatch):
+    rng = random.Random(1)
+    known = {}
+    for size in (1, 5, 16, 1 << 20):
+        monkeypatch.setattr(substring, "_PIECE", size)
+        for _ in range(200):
+            text = "".join(rng.choice(["a", "Bc", "é", " ", "\n", "x\x0by", "q", "\x00", "\x1c"]) for _ in range(rng.randrange(40)))
+            words = text.encode().lower().split()
+            found = substring.hashes_of(text).tolist()
+            assert len(found) == len(words) and all(known.setdefault(w, h) == h for w, h in zip(words, found))
+    assert len(set(known.values())) == len(known)
+
+
+def test_hot_seeds_only_place_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    common = text_of(rng, 60)
+    rows = [(i, f"{text_of(rng, 12)} {common if i % 2 else text_of(rng, 60)} {text_of(rng, 12)}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot, cuts = substring._hot_seeds(docs, 4, 50)
+    assert len(hot) >= 57 and len(cuts) > 1
+    spans = {tuple(r) for r in substring.passages(substring.pieces(docs)).collect()}
+    assert {(d, 12, 72) for d in range(1, 120, 2)} == {s[:3] for s in spans}
+    monkeypatch.setattr(substring, "_hot_seeds", lambda *_: (hot[:0], cuts[:0]))
+    assert {tuple(r) for r in substring.passages(substring.pieces(docs, passes=1)).collect()} == spans

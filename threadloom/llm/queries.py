@@ -58,8 +58,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = written(substring.pieces(table(spark, sf_dir, "documents")), "pieces")
-    return substring.passages(found, min_words=50)
+    return substring.passages(substring.pieces(table(spark, sf_dir, "documents")), min_words=50)
 
 
 @query

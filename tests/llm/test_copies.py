@@ -256,9 +256,9 @@ def test_hot_seeds_only_place_rows(spark, monkeypatch):
     common = text_of(rng, 60)
     rows = [(i, f"{text_of(rng, 12)} {common if i % 2 else text_of(rng, 60)} {text_of(rng, 12)}") for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    hot, cuts = substring._hot_seeds(docs, 4, 50)
-    assert len(hot) >= 57 and len(cuts) > 1
+    hot, cuts = substring._hot_seeds(docs, 4, 50, 1)
+    assert len(hot) >= 50 and len(cuts) > 1
     spans = {tuple(r) for r in substring.passages(substring.pieces(docs)).collect()}
     assert {(d, 12, 72) for d in range(1, 120, 2)} == {s[:3] for s in spans}
     monkeypatch.setattr(substring, "_hot_seeds", lambda *_: (hot[:0], cuts[:0]))
-    assert {tuple(r) for r in substring.passages(substring.pieces(docs, passes=1)).collect()} == spans
+    assert {tuple(r) for r in substring.passages(substring.pieces(docs)).collect()} == spans

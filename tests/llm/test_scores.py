@@ -135,3 +135,71 @@ def test_every_notice_of_a_file_is_labelled(spark):
     assert all(name in marked[i] for i, name in enumerate(licenses.TEMPLATES)) and "mit" in marked[25]
     same = found.where("doc_id between 20 and 49")
     assert {r["labels"] for r in licenses.labelled(same, index, licenses.word_idf(same, index)).collect()} == {"mit"}
+
+
+def tail(good, wrong, rate):
+    from math import comb
+
+    return sum(comb(good, j) * rate**j * (1 - rate) ** (good - j) for j in range(wrong + 1)) if wrong < good * rate else 1.0
+
+
+def last_step(good, wrong, rate, error):
+    """The smallest step back that holds, steps tested from the largest on; None if the first fails."""
+    found = None
+    for back in range(rules.CUTOFFS - 1, -1, -1):
+        if tail(good, wrong[back], rate) > error:
+            break
+        found = back
+    return found
+
+
+def test_levels_equal_plain_python_and_pool_small_strata(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(11)
+    rows, labels = [], []
+    for n, (lang, count, share) in enumerate([("a", 1500, 0.004), ("b", 900, 0.03), ("c", 260, 0.0), (None, 260, 0.005)]):
+        for i in range(count):
+            bad = rng.random() < 0.25
+            marks = rng.choice([0, 0, 3, 6, 11, 16, 20]) if bad or rng.random() < share else 0
+            long = "x" * (4 if bad and rng.random() < 0.3 else 0)
+            rows.append((10000 * n + i, " ".join(f"w{i}x{j}{long}" + ("#" if j < marks else "") for j in range(20)), lang))
+            labels.append((10000 * n + i, 0 if bad else 1))
+    counts = rules.counted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).drop("text").cache()
+    found = {r["__stratum"]: r for r in rules.levels(counts, spark.createDataFrame(labels, "doc_id long, quality int"), "lang").collect()}
+    assert {s: r["pooled"] for s, r in found.items()} == {"a": False, "b": False, "c": True, None: True}
+    over = {r["doc_id"]: r["over"] for r in counts.select("doc_id", rules.exceeded().alias("over")).collect()}
+    quality, risk, top = dict(labels), rules.Risk(), rules.CUTOFFS
+    first = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % rules.PROPOSING == 0 for i, *_ in rows}
+    steps = set()
+    for group in ({"a"}, {"b"}, {"c", None}):
+        ids = [i for i, _, lang in rows if lang in group]
+        ask, rest = [i for i in ids if first[i]], [i for i in ids if not first[i]]
+        proposed = []
+        for r in range(len(rules.RULES)):
+            best = (0, 0)
+            for t in range(1, top + 1):
+                hit = [quality[i] for i in ask if over[i][r] >= top + 1 - t]
+                if sum(hit) <= sum(quality[i] for i in ask) * risk.rate / len(rules.RULES):
+                    best = max(best, (len(hit) - sum(hit), -t)) if len(hit) > sum(hit) else best
+            proposed.append(-best[1])
+        rejected = {s: [quality[i] for i in rest if any(t and over[i][r] >= top + 1 - (t - s) and t > s for r, t in enumerate(proposed))] for s in range(top)}
+        last = last_step(sum(quality[i] for i in rest), {s: sum(q) for s, q in rejected.items()}, risk.rate, risk.error / 5)
+        want = max(((len(q) - sum(q), s) for s, q in rejected.items() if last is not None and s >= last and len(q) > sum(q)), default=(0, None))[1]
+        assert all(found[s]["levels"] == proposed and found[s]["back"] == want for s in group)
+        steps.add(want)
+    assert steps - {None}
+
+
+def test_bounds_hold_as_often_as_promised():
+    """A step whose true false rejection is above the rate is seldom certified."""
+    rng = np.random.default_rng(5)
+    rate, error, trials = rules.Risk().rate, 0.05, 600
+    true = np.array([0.001, 0.004, 0.01, 0.0201, 0.021, 0.024, 0.03, 0.05])  # of steps 7 to 0, nested
+    broken = 0
+    for _ in range(trials):
+        draws = np.searchsorted(true, rng.random(400))
+        last = last_step(400, {7 - t: int((draws <= t).sum()) for t in range(8)}, rate, error)
+        broken += last is not None and last < 5
+    assert broken <= trials * (error + 0.02)

@@ -182,22 +182,42 @@ WITH split AS (
 ), long AS (
   SELECT doc_id, lang, base_failed, m.rule, CAST(m.value AS DOUBLE) AS value FROM based, LATERAL (VALUES {measures}) AS m(rule, value)
 ), cuts AS (SELECT * FROM (VALUES {cuts}) AS c(rule, cut)
+), over AS (
+  SELECT doc_id, long.rule, any_value(lang) AS lang, any_value(base_failed) AS base_failed, CAST(sum(CASE WHEN value > cut THEN 1 ELSE 0 END) AS BIGINT) AS over
+  FROM long JOIN cuts ON cuts.rule = long.rule GROUP BY doc_id, long.rule
+), judged AS (
+  SELECT over.*, quality, ('0x' || substr(md5(CAST(over.doc_id AS VARCHAR)), 1, 8))::BIGINT % {rules.PROPOSING} = 0 AS proposes
+  FROM over JOIN labels ON labels.doc_id = over.doc_id WHERE quality IN (0, 1) AND NOT base_failed
+), strata AS (
+  SELECT lang, sum(CASE WHEN proposes THEN 0 ELSE quality END) AS good, count(*) OVER () + 1 AS strata FROM judged WHERE rule = 'symbols' GROUP BY lang
+), groups AS (
+  SELECT lang, strata, CASE WHEN good >= ceil((ln({risk.error}) - ln(strata)) / ln(1 - {risk.rate})) THEN {{'s': lang}} END AS g FROM strata
 ), rows AS (
-  SELECT long.lang, long.rule, cut, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
-    sum(CASE WHEN value > cut AND quality = 1 THEN 1 ELSE 0 END) AS wrong,
-    sum(CASE WHEN value > cut AND quality = 0 THEN 1 ELSE 0 END) AS right_
-  FROM long JOIN labels ON labels.doc_id = long.doc_id JOIN cuts ON cuts.rule = long.rule
-  WHERE quality IN (0, 1) AND NOT base_failed GROUP BY ALL
+  SELECT judged.*, g, strata FROM judged JOIN groups ON groups.lang IS NOT DISTINCT FROM judged.lang
+), tried AS (
+  SELECT g, rule, level, sum(quality) AS good, sum(CASE WHEN over >= {rules.CUTOFFS} + 1 - level THEN quality ELSE 0 END) AS wrong,
+    sum(CASE WHEN over >= {rules.CUTOFFS} + 1 - level THEN 1 - quality ELSE 0 END) AS right_
+  FROM rows, (SELECT unnest(range(1, {rules.CUTOFFS} + 1)) AS level) WHERE proposes GROUP BY ALL
+), proposed AS (
+  SELECT g, rule, level FROM tried WHERE right_ > 0 AND wrong <= good * ({risk.rate} / {len(rules.RULES)})
+  QUALIFY row_number() OVER (PARTITION BY g, rule ORDER BY right_ DESC, level) = 1
+), steps AS (
+  SELECT rows.doc_id, rows.g, strata, any_value(quality) AS quality, coalesce(max(level + over - {rules.CUTOFFS} - 1), -1) AS most
+  FROM rows LEFT JOIN proposed ON proposed.g IS NOT DISTINCT FROM rows.g AND proposed.rule = rows.rule WHERE NOT proposes GROUP BY rows.doc_id, rows.g, strata
 ), tested AS (
-  SELECT *, CASE WHEN wrong >= good * {risk.rate} THEN 1.0 ELSE (
-    SELECT sum(exp(lgamma(good + 1) - (CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END) - lgamma(good - j + 1)
-      + j * ln({risk.rate}) + (good - j) * ln(1 - {risk.rate})))
-    FROM (SELECT unnest(range(CAST(wrong AS BIGINT) + 1)) AS j)) END AS p, count(*) OVER () AS tests FROM rows
+  SELECT g, strata, back, sum(quality) AS good, sum(CASE WHEN most >= back THEN quality ELSE 0 END) AS wrong, sum(CASE WHEN most >= back THEN 1 - quality ELSE 0 END) AS right_
+  FROM steps, (SELECT unnest(range({rules.CUTOFFS})) AS back) GROUP BY ALL
+), ended AS (
+  SELECT *, coalesce(max(CASE WHEN NOT holds THEN back END) OVER (PARTITION BY g), -1) AS ends FROM (
+    SELECT *, wrong < good * {risk.rate} AND (
+      SELECT sum(exp(lgamma(good + 1) - (CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END) - lgamma(good - j + 1)
+        + j * ln({risk.rate}) + (good - j) * ln(1 - {risk.rate})))
+      FROM (SELECT unnest(range(CAST(wrong AS BIGINT) + 1)) AS j)) <= {risk.error} / strata AS holds FROM tested)
 ), best AS (
-  SELECT lang, rule, cut FROM tested WHERE right_ > 0 AND p <= {risk.error} / tests
-  QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY right_ DESC, cut DESC) = 1
+  SELECT g, back FROM ended WHERE back > ends AND right_ > 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY right_ DESC, back DESC) = 1
 ), rejected AS (
-  SELECT DISTINCT long.doc_id FROM long JOIN best ON best.rule = long.rule AND best.lang IS NOT DISTINCT FROM long.lang WHERE value > cut
+  SELECT DISTINCT over.doc_id FROM over JOIN groups ON groups.lang IS NOT DISTINCT FROM over.lang JOIN best ON best.g IS NOT DISTINCT FROM groups.g
+    JOIN proposed ON proposed.g IS NOT DISTINCT FROM groups.g AND proposed.rule = over.rule WHERE over.over >= {rules.CUTOFFS} + 1 - (level - back)
 )
 SELECT based.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND rejected.doc_id IS NULL AS kept

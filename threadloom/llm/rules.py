@@ -1,10 +1,14 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Every rule is a measure of the text and a cutoff above which a text is rejected. For each stratum and
-rule, candidate cutoffs are tested on the labelled texts of good quality: a cutoff is certified if the
-exact binomial probability of seeing so few false rejections at the tolerated rate stays below the
-error level, divided by the number of tests made (Bonferroni). Of the certified cutoffs the one that
-rejects most bad texts is taken, the highest on ties; a rule without one rejects nothing.
+Every rule is a measure of the text and a cutoff above which a text is rejected; its cutoffs, from the
+mildest to the strictest, are levels. A part of the labels proposes for each stratum and rule the level
+that rejects most bad texts while false rejections stay rare. The rest of the labels decides by how many
+levels all proposals have to be taken back: what is rejected then contains what a larger step back
+rejects, so steps are tested from the largest on, and a step holds if the exact binomial probability of
+so few false rejections by all rules together, at the tolerated rate, stays below the error level divided
+by the number of strata (Bonferroni). The first that does not hold ends the sequence, so steps need no
+correction among themselves. Strata with too few good texts to certify anything are treated as one;
+where no step holds, nothing is rejected.
 """
 
 from __future__ import annotations
@@ -137,48 +141,99 @@ def at_most(k: Column, n: Column, rate: float) -> Column:
 
 @dataclass(frozen=True)
 class Risk:
-    """Tolerated false rejections per rule and stratum, and the chance that any bound fails."""
+    """Tolerated false rejections per stratum by all rules, and the chance that any bound fails."""
 
-    rate: float = 0.005
+    rate: float = 0.02
     error: float = 0.05
 
 
-def thresholds(counts: DataFrame, labels: DataFrame, stratum: str, key: str = "doc_id", label: str = "quality", risk: Risk = Risk()) -> DataFrame:
-    """(stratum, one column per rule): the chosen cutoffs, null where none is certified.
+#: One label in so many proposes levels, the others certify them.
+PROPOSING = 4
+
+
+def exceeded() -> Column:
+    """How many cutoffs of each rule a text's measures exceed: level t of a rule rejects CUTOFFS + 1 - t or more."""
+    return F.array(*[sum((_measure(rule) > cut).cast("int") for cut in cuts) for rule, (_, cuts) in RULES.items()])
+
+
+def fewest(strata: Column, risk: Risk) -> Column:
+    """Good texts that a stratum needs, so that no false rejection at all certifies a step."""
+    return F.ceil((math.log(risk.error) - F.ln(strata.cast("double"))) / math.log1p(-risk.rate))
+
+
+def _levels_of(sums: str, risk: Risk) -> Column:
+    """Per rule the mildest level that rejects most bad texts, of those with few false rejections; 0 for none."""
+    few = lambda x: x["wrong"] <= F.col("good") * (risk.rate / len(RULES))
+    best = F.array_max(F.transform(F.filter(sums, lambda x: few(x) & (x["right"] > 0)), lambda x: F.struct(x["right"].alias("r"), (-x["level"]).alias("l"))))
+    return F.coalesce(-best["l"], F.lit(0))
 
-    ``counts`` (from ``counted``, stored) are joined with the labels by id; all labelled texts that
-    pass the fixed rules count. Labels other than 0 and 1 are ignored, repeated ones count each time.
+
+def levels(counts: DataFrame, labels: DataFrame, stratum: str, key: str = "doc_id", label: str = "quality", risk: Risk = Risk()) -> DataFrame:
+    """(stratum, pooled, levels, back, good, wrong, right) of each labelled stratum.
+
+    ``levels`` are the proposed levels per rule, ``back`` the certified step, null for none; ``wrong``
+    of ``good`` and ``right`` are the good and bad texts then rejected among the certifying labels of the
+    stratum, or of all pooled ones. ``counts`` (from ``counted``, stored) are joined with the labels by
+    id; all labelled texts that pass the fixed rules count. Labels other than 0 and 1 are ignored,
+    repeated ones count each time. The bound corrects for every labelled stratum and the pool.
     """
     judged = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("__key"), F.col(label).alias("__label"))
-    rules = F.array(*[F.struct(F.lit(name).alias("rule"), _measure(name).alias("value"), F.array(*map(F.lit, cuts)).alias("cuts")) for name, (_, cuts) in RULES.items()])
-    known = counts.where(~base_failed()).select(F.col(key).alias("__doc"), F.col(stratum).alias("__stratum"), rules.alias("__rules"))
-    long = known.join(judged, F.col("__doc") == F.col("__key")).select("__stratum", "__label", F.explode("__rules").alias("r"))
-    rejected = [(F.col("r.value") > F.col("r.cuts")[i]) for i in range(CUTOFFS)]
-    sums = long.groupBy("__stratum", F.col("r.rule").alias("rule")).agg(
-        F.first("r.cuts").alias("cuts"),
-        F.sum((F.col("__label") == 1).cast("bigint")).alias("good"),
-        *[F.sum((r & (F.col("__label") == 1)).cast("bigint")).alias(f"false{i}") for i, r in enumerate(rejected)],
-        *[F.sum((r & (F.col("__label") == 0)).cast("bigint")).alias(f"true{i}") for i, r in enumerate(rejected)],
+    known = counts.where(~base_failed()).select(F.col(key).alias("__doc"), F.col(stratum).alias("__stratum"), exceeded().alias("__over"))
+    good, bad = F.col("__label") == 1, F.col("__label") == 0
+    proposing = F.conv(F.substring(F.md5(F.col("__doc").cast("string")), 1, 8), 16, 10).cast("bigint") % PROPOSING == 0
+    rows = known.join(judged, F.col("__doc") == F.col("__key")).withColumn("__proposes", proposing)
+    sizes = rows.groupBy("__stratum").agg(F.sum((good & ~F.col("__proposes")).cast("bigint")).alias("__good"))
+    strata = sizes.agg((F.count(F.lit(1)) + 1).alias("__strata"))
+    marked = sizes.crossJoin(F.broadcast(strata)).withColumn("pooled", F.col("__good") < fewest(F.col("__strata"), risk))  # one row of one number
+    group = F.when(~F.col("pooled"), F.struct(F.col("__stratum").alias("s"))).alias("__group")
+    named = marked.select(F.col("__stratum").alias("__s"), "__strata", "pooled", group)
+    grouped = rows.join(named, F.col("__stratum").eqNullSafe(F.col("__s"))).drop("__s")
+
+    hits = [[F.col("__over")[r] >= CUTOFFS + 1 - t for t in range(1, CUTOFFS + 1)] for r in range(len(RULES))]
+    per_rule = [
+        F.array(*[F.struct(F.lit(t).alias("level"), F.sum((h & good).cast("bigint")).alias("wrong"), F.sum((h & bad).cast("bigint")).alias("right")) for t, h in enumerate(row, 1)]).alias(f"__r{r}")
+        for r, row in enumerate(hits)
+    ]
+    sums = grouped.where("__proposes").groupBy("__group").agg(F.sum(good.cast("bigint")).alias("good"), *per_rule)
+    proposed = sums.select(F.col("__group").alias("__g"), F.array(*[_levels_of(f"__r{r}", risk) for r in range(len(RULES))]).alias("levels"))
+
+    tried = grouped.where("not __proposes").join(proposed, F.col("__group").eqNullSafe(F.col("__g")))
+    steps = F.transform(F.arrays_zip("levels", "__over"), lambda x: F.when(x["levels"] > 0, x["levels"] + x["__over"] - CUTOFFS - 1).otherwise(-1))
+    most = tried.withColumn("__most", F.array_max(steps))  # rejected by steps back up to this one
+    found = [F.col("__most") >= s for s in range(CUTOFFS)]
+    counted_ = most.groupBy("__g", "levels", "pooled", "__strata").agg(
+        F.sum(good.cast("bigint")).alias("good"),
+        F.array(*[F.struct(F.lit(s).alias("back"), F.sum((h & good).cast("bigint")).alias("wrong"), F.sum((h & bad).cast("bigint")).alias("right")) for s, h in enumerate(found)]).alias("__steps"),
+    )
+    tested = counted_.select("__g", "levels", "__strata", "good", F.explode("__steps").alias("t"))
+    holds = at_most(F.col("t.wrong"), F.col("good"), risk.rate) <= risk.error / F.col("__strata")
+    held = tested.withColumn("__ends", F.when(~holds, F.col("t.back"))).groupBy("__g", "levels", "good").agg(
+        F.coalesce(F.max("__ends"), F.lit(-1)).alias("__end"), F.collect_list(F.struct("t.right", "t.back", "t.wrong")).alias("__steps")
     )
-    tests = F.explode(F.array(*[F.struct(F.col("cuts")[i].alias("cut"), F.col(f"false{i}").alias("wrong"), F.col(f"true{i}").alias("right")) for i in range(CUTOFFS)]))
-    rows = sums.select("__stratum", "rule", "good", tests.alias("t")).select("__stratum", "rule", "good", "t.*")
-    made = rows.agg(F.count(F.lit(1)).alias("__tests"))
-    certified = rows.crossJoin(F.broadcast(made)).where(  # one row of one number
-        (F.col("right") > 0) & (at_most(F.col("wrong"), F.col("good"), risk.rate) <= risk.error / F.col("__tests"))
+    best = F.array_max(F.filter("__steps", lambda x: (x["back"] > F.col("__end")) & (x["right"] > 0))).alias("__best")
+    chosen = held.select("__g", "levels", "good", best)
+    return named.join(chosen, F.col("__group").eqNullSafe(F.col("__g"))).select(
+        F.col("__s").alias("__stratum"), "pooled", "levels", F.col("__best.back").alias("back"), "good", F.col("__best.wrong").alias("wrong"), F.col("__best.right").alias("right")
     )
-    best = certified.groupBy("__stratum", "rule").agg(F.max(F.struct("right", "cut"))["cut"].alias("cut"))
-    return best.groupBy("__stratum").pivot("rule", list(RULES)).agg(F.first("cut"))
 
 
-def verdicts(counts: DataFrame, cutoffs: DataFrame, stratum: str, name: str = "kept", most: int = 100_000) -> DataFrame:
+def thresholds(counts: DataFrame, labels: DataFrame, stratum: str, key: str = "doc_id", label: str = "quality", risk: Risk = Risk()) -> DataFrame:
+    """(stratum, one column per rule): the certified cutoffs, null where a rule rejects nothing."""
+    chosen = levels(counts, labels, stratum, key, label, risk)
+    columns = []
+    for r, (rule, (_, cuts)) in enumerate(RULES.items()):
+        level = F.col("levels")[r] - F.col("back")
+        columns.append(F.when(level >= 1, F.get(F.array(*map(F.lit, cuts)), F.lit(CUTOFFS) - level)).alias(rule))
+    return chosen.select("__stratum", *columns)
+
+
+def verdicts(counts: DataFrame, cutoffs: DataFrame, stratum: str, name: str = "kept") -> DataFrame:
     """``counts`` with the verdict: false if the fixed rules or a certified cutoff reject the text.
 
-    The cutoffs, one row per stratum, are broadcast after a check that there are at most ``most``.
+    Whether the cutoffs, one row per stratum, are broadcast is left to Spark's size check.
     """
-    if cutoffs.count() > most:
-        raise ValueError(f"more than {most} strata")
     chosen = cutoffs.select(F.col("__stratum"), *[F.col(rule).alias(f"__{rule}") for rule in RULES])
-    joined = counts.join(F.broadcast(chosen), F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
+    joined = counts.join(chosen, F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
     over = F.lit(False)
     for rule in RULES:
         over = over | F.coalesce(_measure(rule) > F.col(f"__{rule}"), F.lit(False))

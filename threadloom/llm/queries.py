@@ -53,7 +53,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = pii.found(docs, pii.fit(docs))
     counts = [pii.count_of("base", kind).alias(f"n_{kind}") for kind in pii.BASE]
-    return spans.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    every = F.size("spans").cast("bigint")
+    return spans.select(
+        "doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"),
+        every.alias("n_spans"), (every - F.size("base")).alias("n_further"),
+    )
 
 
 @query

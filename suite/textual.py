@@ -114,37 +114,78 @@ def _doc_tokens(spark, sf):
     return V.texts(spark, sf).select("doc_id", T.word_tokens(F.col("text")).alias("tokens"))
 
 
-def _vocabulary(spark, sf):
+def _vocabulary(spark, sf, most=2000):
     tokens = _doc_tokens(spark, sf).select(F.explode("tokens").alias("token"))
-    return token_vocabulary(tokens, max_vocab=2000, min_freq=2, specials=C.SHORT_SPECIALS)
+    return token_vocabulary(tokens, max_vocab=most, min_freq=2, specials=C.SHORT_SPECIALS)
 
 
-@query("a10_token_vocabulary", f"WITH {VOCAB} SELECT token, count, idx FROM vocab UNION ALL VALUES ('_unk_', 0, 0), ('_pad_', 0, 1)")
+#: The operator's own limit, for the queries over the full vocabulary.
+FULL = 60_000
+
+
+def full(sql: str) -> str:
+    return sql.replace("LIMIT 2000", f"LIMIT {FULL}")
+
+
+A10 = f"WITH {VOCAB} SELECT token, count, idx FROM vocab UNION ALL VALUES ('_unk_', 0, 0), ('_pad_', 0, 1)"
+
+
+@query("a10_token_vocabulary", A10)
 def a10(spark, sf):
     return _vocabulary(spark, sf).withColumn("idx", F.col("idx").cast("bigint"))
 
 
+@query("a10_full_vocabulary", full(A10))
+def a10_full(spark, sf):
+    return _vocabulary(spark, sf, FULL).withColumn("idx", F.col("idx").cast("bigint"))
+
+
 IDS = f"""{VOCAB}, flat AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS spot FROM vt),
 ids AS (SELECT doc_id, list(coalesce(idx, 0) ORDER BY spot) AS ids FROM flat LEFT JOIN vocab USING (token) GROUP BY doc_id)"""
 
 
-@query("t16_numericalised", f"WITH {IDS} SELECT doc_id, array_to_string(ids, ' ') AS ids FROM ids")
-def t16(spark, sf):
-    encoded = numericalised(_doc_tokens(spark, sf), "doc_id", "tokens", _vocabulary(spark, sf))
+T16 = f"WITH {IDS} SELECT doc_id, array_to_string(ids, ' ') AS ids FROM ids"
+
+
+def _numericalised(spark, sf, most):
+    return numericalised(_doc_tokens(spark, sf), "doc_id", "tokens", _vocabulary(spark, sf, most))
+
+
+def _id_texts(encoded):
     return encoded.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
-@query("t17_padded", f"""WITH {IDS}, cut AS (SELECT doc_id, list_slice(ids, greatest(len(ids) - 299, 1), len(ids)) AS ids FROM ids)
-SELECT doc_id, rtrim(repeat('1 ', 300 - len(ids)) || array_to_string(ids, ' ')) AS pre, rtrim(array_to_string(ids, ' ') || repeat(' 1', 300 - len(ids))) AS post FROM cut""")
-def t17(spark, sf):
-    encoded = numericalised(_doc_tokens(spark, sf), "doc_id", "tokens", _vocabulary(spark, sf))
+@query("t16_numericalised", T16)
+def t16(spark, sf):
+    return _id_texts(_numericalised(spark, sf, 2000))
+
+
+@query("t16_full_vocabulary", full(T16))
+def t16_full(spark, sf):
+    return _id_texts(_numericalised(spark, sf, FULL))
+
+
+T17 = f"""WITH {IDS}, cut AS (SELECT doc_id, list_slice(ids, greatest(len(ids) - 299, 1), len(ids)) AS ids FROM ids)
+SELECT doc_id, rtrim(repeat('1 ', 300 - len(ids)) || array_to_string(ids, ' ')) AS pre, rtrim(array_to_string(ids, ' ') || repeat(' 1', 300 - len(ids))) AS post FROM cut"""
 
+
+def _padded_texts(encoded):
     def joined(side):
         return F.array_join(T.padded(F.col("ids"), 300, side).cast("array<string>"), " ").alias(side)
 
     return encoded.select("doc_id", joined("pre"), joined("post"))
 
 
+@query("t17_padded", T17)
+def t17(spark, sf):
+    return _padded_texts(_numericalised(spark, sf, 2000))
+
+
+@query("t17_full_vocabulary", full(T17))
+def t17_full(spark, sf):
+    return _padded_texts(_numericalised(spark, sf, FULL))
+
+
 @query("t18_shares_word", f"""SELECT qid, list_has_any({S.space_tokens("reply")}, {S.space_tokens("question")}) AS shares FROM turn_pairs""")
 def t18(spark, sf):
     return V.turn_pairs(spark, sf).select("qid", T.shares_word(F.col("reply"), F.col("question")).alias("shares"))

@@ -241,6 +241,24 @@ def p06(spark, sf):
     return out.select("k", F.round("hits", 6).alias("hits"), F.round("dcg", 6).alias("dcg"))
 
 
+LONG_LISTS = f"""qtx AS (SELECT qid, {S.search_text('question')} AS text FROM turn_pairs), rtx AS (SELECT qid, {S.search_text('reply')} AS text FROM turn_pairs),
+{V.sql_mean('av', 'qid', 'qtx', V.WS, 'idf_words')},
+{V.sql_mean('rv', 'qid', 'rtx', V.WS, 'idf_words')},
+scored AS (SELECT a.qid, b.qid AS other, {S.r6(COS)} AS score FROM av a, rv b),
+ranks AS (SELECT s.qid, 1 + sum(CASE WHEN s.other <> s.qid AND (s.score > o.score OR (s.score = o.score AND s.other < s.qid)) THEN 1 ELSE 0 END) AS rank
+  FROM scored s JOIN scored o ON o.qid = s.qid AND o.other = o.qid GROUP BY s.qid)"""
+
+
+@query("p06_long_lists", f"""WITH {LONG_LISTS} SELECT k, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0 END), 6) AS hits,
+round(sum(CASE WHEN rank <= k THEN 1 / log2(1 + rank) ELSE 0 END) / count(*), 6) AS dcg FROM ranks, {DEPTHS} GROUP BY k""")
+def p06_long(spark, sf):
+    """Every reply is a candidate of every question: the rank of the true one, by whole cells of an index."""
+    asked = V.turn_pairs(spark, sf).select(F.lit("replies").alias("tag"), F.col("qid").alias("comment_id"), search_text(F.col("question")).alias("text"))
+    probes = E.mean_vectors(asked, ["tag", "comment_id"], "text", E.weighted_words(V.word_vectors(spark, sf), V.idf(spark, sf)), V.DIM)
+    ranks = X.own_rank(probes, V.reply_index(spark, sf), V.reply_vectors(spark, sf)).select(F.col("comment_id").alias("qid"), "rank")
+    return M.ranking_metrics(ranks).select("k", F.round("hits", 6).alias("hits"), F.round("dcg", 6).alias("dcg"))
+
+
 PROBS = "guess AS (SELECT vec_id, label, list_slice(embedding, 1, 10)::DOUBLE[] AS p FROM embeddings)"
 
 
@@ -331,16 +349,28 @@ def w05(spark, sf):
     return I.most_similar(asked, V.doc_weights(spark, sf), 5, item="doc_id")
 
 
-@query("j13_aligned_vectors", f"""WITH cnt AS (SELECT term AS token, count(*) AS count FROM (SELECT unnest(tokens) AS term FROM doc_tokens) GROUP BY 1),
+J13 = f"""WITH cnt AS (SELECT term AS token, count(*) AS count FROM (SELECT unnest(tokens) AS term FROM doc_tokens) GROUP BY 1),
 voc AS (SELECT token FROM cnt WHERE count > 2 ORDER BY count DESC, token LIMIT 1000),
 mean AS (SELECT list(m ORDER BY pos) AS vec FROM (SELECT avg(v) AS m, pos FROM (SELECT unnest(vec) AS v, generate_subscripts(vec, 1) AS pos FROM word_vectors) GROUP BY pos)),
-al AS (SELECT token, coalesce(w.vec, mean.vec) AS vec FROM voc LEFT JOIN word_vectors w ON voc.token = w.word, mean) {entries_sql('al', 'token')}""")
-def j13(spark, sf):
+al AS (SELECT token, coalesce(w.vec, mean.vec) AS vec FROM voc LEFT JOIN word_vectors w ON voc.token = w.word, mean) {entries_sql('al', 'token')}"""
+
+
+def _aligned(spark, sf, most):
     tokens = V.texts(spark, sf).select(F.explode(search_tokens(F.col("text"))).alias("token"))
-    vocabulary = token_vocabulary(tokens, max_vocab=1000, min_freq=2)
+    vocabulary = token_vocabulary(tokens, max_vocab=most, min_freq=2)
     return entries(E.aligned_vectors(vocabulary, V.word_vectors(spark, sf), V.DIM), "token")
 
 
+@query("j13_aligned_vectors", J13)
+def j13(spark, sf):
+    return _aligned(spark, sf, 1000)
+
+
+@query("j13_full_vocabulary", J13.replace("LIMIT 1000", "LIMIT 60000"))
+def j13_full(spark, sf):
+    return _aligned(spark, sf, 60_000)
+
+
 # --- features and answers -------------------------------------------------------------------------
 
 def features_sql(text: str, asked_texts: str = "question_texts") -> str:

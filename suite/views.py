@@ -224,6 +224,18 @@ def turn_pairs(spark, sf):
     return ask.join(reply, ["conv_id", "turn"]).withColumn("qid", F.col("conv_id") * 100 + F.col("turn"))
 
 
+@prepared
+def reply_vectors(spark, sf):
+    """Every reply of a turn pair, in one group."""
+    texts_ = turn_pairs(spark, sf).select(F.lit("replies").alias("tag"), F.col("qid").alias("comment_id"), search_text(F.col("reply")).alias("text"))
+    return mean_vectors(texts_, ["tag", "comment_id"], "text", weighted_words(word_vectors(spark, sf), idf(spark, sf)), DIM)
+
+
+@stored_index
+def reply_index(spark, sf):
+    return reply_vectors(spark, sf)
+
+
 def cases(spark, sf):
     """A question, its reply, then the first replies of the nine conversations that follow."""
     pairs = turn_pairs(spark, sf)

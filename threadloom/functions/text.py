@@ -37,11 +37,18 @@ def _single_spaces(text: Column) -> Column:
 
 
 @pandas_udf(StringType())
-def unescape_all(text: pd.Series) -> pd.Series:
-    """All named and numeric HTML entities; Spark has no such function."""
+def _unescaped(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+def unescape_all(text: Column) -> Column:
+    """All named and numeric HTML entities; Spark has no such function.
+
+    Only texts that can hold one, an ampersand before a letter or ``#``, are sent to Python.
+    """
+    return F.coalesce(_unescaped(F.when(text.rlike("&[#A-Za-z]"), text)), text)
+
+
 def unescape_common(text: Column) -> Column:
     """The common named entities as plain replacements, each entity decoded once."""
     return _swap(text, C.NAMED_ENTITIES)

@@ -102,10 +102,6 @@ def by_distance(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*keys, F.asc("distances"), F.asc("comment_id"))
 
 
-def by_weight(df: DataFrame, *keys: str) -> DataFrame:
-    return df.orderBy(*keys, F.desc("final_weight"), F.asc("comment_id"))
-
-
 def weight_rank(df: DataFrame, key: str = "qid", rank: str = "rank") -> DataFrame:
     """Place of each candidate by final weight, from 1; a question has at most k per asked tag."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("final_weight"), F.asc("comment_id")))

@@ -1,6 +1,7 @@
 """Text functions against hand-made strings and plain Python."""
 
 import html
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,9 +35,26 @@ def test_storage_text(spark):
     assert one(spark, "a\nb", lambda c: T.storage_text(c, newlines="marker")) == "a newlinechar b"
 
 
-@pytest.mark.parametrize("raw", ["&eacute;&#x41;&#66;&amp;lt;", "no entity", "&copy 2020 &notit; &hearts;", ""])
+RAW_ENTITIES = [
+    "&eacute;&#x41;&#66;&amp;lt;", "no entity", "&copy 2020 &notit; &hearts;", "", "&", "&;&#;&#x;&#xg", "a & b&c &&lt;&gt",
+    "&#0;&#00;&#13;&#128;&#x81;&#x9F;&#159", "&#xD800;&#xDFFF;&#x110000;&#99999999999999999999;&#xFFFFFFFFFF;", "&#1;&#11;&#12;&#127;&#x1FFFE;&#xFDD0;x",
+    "&#xFEFF;&#xFFFD;&#128512;&#x1F600 &#65b", "&ltnot;&gtreqless;&NotEqualTilde;&thisnameisfarfartoolongforanyentityatall;", "&\u00e9;&amp\u00e9;\U0001f600&quot;",
+    "&#0000000000065;&#x0000000041;\n&lt\n", "&amp;&amp;amp;&", None,
+]
+
+
+@pytest.mark.parametrize("raw", RAW_ENTITIES)
 def test_unescape_all_is_the_full_table(spark, raw):
-    assert one(spark, raw, T.unescape_all) == html.unescape(raw)
+    assert one(spark, raw, T.unescape_all) == (None if raw is None else html.unescape(raw))
+
+
+def test_unescape_all_on_every_name_and_many_numbers(spark):
+    names = [f"x&{name}y" for name in html5] + [f"x&{name.rstrip(';')}" for name in html5]
+    numbers = [f"&#{n};" for n in range(0, 70_000, 7)] + [f"&#x{n:x};z" for n in [*range(0x180), *range(0xFDC0, 0x10002), *range(0x10FFF0, 0x110010)]]
+    table = spark.createDataFrame([(t,) for t in names + numbers], "x string")
+    found = table.select("x", T.unescape_all(F.col("x")).alias("y"))
+    assert [(r.x, r.y) for r in found.collect() if r.y != html.unescape(r.x)] == []
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_unescape_common_decodes_once(spark):

@@ -1,18 +1,15 @@
-"""Text functions: Column in, Column out, all inside the JVM except :func:`unescape_all`."""
+"""Text functions: Column in, Column out, all inside the JVM."""
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from threadloom.functions import constants as C
+from threadloom.functions.entities import decoded_entities
 
 _NEWLINE_PAIRS = (("\n", " "), ("\r", " "))
 _STORED = tuple(p for p in C.SEARCH_REPLACEMENTS if p[0] != "π" and p not in _NEWLINE_PAIRS)
@@ -36,17 +33,9 @@ def _single_spaces(text: Column) -> Column:
     return F.regexp_replace(text, " {2,}", " ")
 
 
-@pandas_udf(StringType())
-def _unescaped(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
-
-
 def unescape_all(text: Column) -> Column:
-    """All named and numeric HTML entities; Spark has no such function.
-
-    Only texts that can hold one, an ampersand before a letter or ``#``, are sent to Python.
-    """
-    return F.coalesce(_unescaped(F.when(text.rlike("&[#A-Za-z]"), text)), text)
+    """All named and numeric HTML entities, each decoded once."""
+    return decoded_entities(text)
 
 
 def unescape_common(text: Column) -> Column:
@@ -116,7 +105,7 @@ def storage_text(text: Column, markup: str = "keep", newlines: str = "keep", ent
     """The stored form of a body or title: case kept, literal replacements, single blanks.
 
     ``newlines`` is ``keep``, ``space`` or ``marker`` (the word ``newlinechar``); ``entities`` is
-    ``all`` (Arrow batches) or ``common`` (stays in the JVM).
+    ``all`` or ``common`` (a few plain replacements).
     """
     if markup == "drop":
         text = without_markup(text)

@@ -6,15 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import prepared_text
+from threadloom.sources.quoted import quoted_records
 
 QUESTIONS = "Id bigint, OwnerUserId bigint, CreationDate string, Score bigint, Title string, Body string"
 ANSWERS = "Id bigint, OwnerUserId bigint, CreationDate string, ParentId bigint, Score bigint, Body string"
 TAGS = "Id bigint, Tag string"
 
 
+_DIALECT = {"quote": '"', "escape": '"', "multiLine": "true"}
+
+
 def csv_dump(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Latin-1 CSV with a header; doubled quotes and line breaks inside quotes are text."""
-    return spark.read.csv(path, schema=schema, header=True, encoding="ISO-8859-1", multiLine=True, quote='"', escape='"')
+    """Latin-1 CSV with a header; doubled quotes and line breaks inside quotes are text.
+
+    A large file is read by many tasks, see ``sources.quoted``; a quote inside an unquoted field is not
+    text here (:func:`csv_dump_by_file` takes it as such).
+    """
+    records = quoted_records(spark, path, "ISO-8859-1").where(~F.col("header"))
+    return records.select(F.from_csv("value", F.lit(schema), _DIALECT).alias("r")).select("r.*")
+
+
+def csv_dump_by_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """As :func:`csv_dump`, one task per file."""
+    return spark.read.csv(path, schema=schema, header=True, encoding="ISO-8859-1", **_DIALECT)
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, encoding: str = "UTF-8") -> None:

@@ -8,10 +8,12 @@ from suite import sqltext as S
 from suite import views as V
 from suite.files import posts_dump
 from suite.registry import query
+from threadloom.functions import constants as C
 from threadloom.functions.text import search_tokens, storage_tags
 from threadloom.operators import models as M
 from threadloom.operators.neighbours import nearest
 from threadloom.operators.selection import csv_questions_as_posts
+from threadloom.plans import answers as Q
 from threadloom.plans import corpus as P
 from threadloom.session import scratch_path
 from threadloom.sources.dumps import posts_dump as read_posts_dump
@@ -104,6 +106,31 @@ def s12_saved(spark, sf):
     return both.agg(F.count("*").alias("rows"), F.every(F.col("predicted") == F.col("again")).alias("same"))
 
 
+@query("p05_raw_questions", """SELECT item_id AS qid, TRUE AS ranked, TRUE AS within, TRUE AS whole FROM benchmark
+WHERE length(trim(text)) >= 1""")
+def p05_raw(spark, sf):
+    """Raw texts answered by a stored classifier and a stored index.
+
+    Checked per question: ranks run from 1 while weights fall, every answer is of a predicted tag, and each
+    predicted tag gives the ten posts it can, or all it has.
+    """
+    path = scratch_path(spark, "model")
+    save_tag_model(_tag_model(spark, sf), spark, path)
+    model, asked = load_tag_model(spark, path), V.questions(spark, sf).select("qid", "question")
+    found = Q.answer_raw_questions(
+        asked, model, V.posts(spark, sf), None, V.word_vectors(spark, sf), V.idf(spark, sf), V.DIM,
+        search=Q.index_search(V.thread_index(spark, sf)))
+    by_rank = F.array_sort(F.collect_list(F.struct("rank", F.negative("final_weight").alias("down"))))
+    got = found.groupBy("qid").agg(by_rank.alias("r"), F.collect_set(F.regexp_extract("tags", "^<([^>]*)>", 1)).alias("langs"))
+    sizes = V.thread_vectors(spark, sf).groupBy("tag").agg(F.least(F.count(F.lit(1)), F.lit(C.TOP_NEIGHBOURS)).alias("n"))
+    tags = model.predict(asked).select("qid", F.explode("predicted.tag").alias("tag")).join(sizes, "tag", "left")
+    due = tags.groupBy("qid").agg(F.sum("n").alias("n"), F.collect_set("tag").alias("predicted"))
+    gapless = F.col("r.rank") == F.sequence(F.lit(1), F.size("r"))
+    return got.join(due, "qid").select(
+        "qid", (gapless & (F.array_sort("r.down") == F.col("r.down"))).alias("ranked"),
+        (F.size(F.array_except("langs", "predicted")) == 0).alias("within"), (F.size("r") == F.col("n")).alias("whole"))
+
+
 @query("m07_boosted_classifier", JUDGED)
 def m07(spark, sf):
     """Few terms and shallow trees keep the registered run short; the operator's defaults are the full ones."""

@@ -84,11 +84,15 @@ def answer_questions(
 
 
 def answer_raw_questions(
-    questions: DataFrame, model: TagModel, posts: DataFrame, vectors: DataFrame, words: DataFrame, idf: DataFrame,
-    dim: int, k: int = C.TOP_NEIGHBOURS, metric: str = "angular", search: Search | None = None,
+    questions: DataFrame, model: TagModel, posts: DataFrame, vectors: DataFrame | None, words: DataFrame,
+    idf: DataFrame, dim: int, k: int = C.TOP_NEIGHBOURS, metric: str = "angular", search: Search | None = None,
 ) -> DataFrame:
-    """Question texts in, ranked answers out: the (stored) model predicts the tags that are searched."""
-    predicted = model.predict(askable(questions)).select("qid", "question", "predicted")
+    """Question texts in, ranked answers out: the (stored) model predicts the tags that are searched.
+
+    Predictions are written once: vectors, search and tag confidence all read them. ``vectors`` may be
+    None if ``search`` has its own.
+    """
+    predicted = written(model.predict(askable(questions)).select("qid", "question", "predicted"), "predicted")
     return answer_questions(predicted, posts, vectors, words, idf, dim, k, metric, search)
 
 

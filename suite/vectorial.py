@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from suite import sqltext as S
@@ -17,8 +19,9 @@ from threadloom.operators import neighbours as N
 from threadloom.operators import ranking as R
 from threadloom.operators import rerank as W
 from threadloom.operators import tfidf as I
+from threadloom.operators import weights as L
 from threadloom.plans import answers as Q
-from threadloom.operators.aggregates import token_vocabulary
+from threadloom.operators.aggregates import min_max_scaled, token_vocabulary
 from threadloom.functions.text import search_tokens
 from threadloom.session import written
 
@@ -508,7 +511,37 @@ def v16(spark, sf):
     features = W.text_features(found.select("qid", "comment_id", "title"), asked, "title")
     twice = features.select("*", *[F.col(f"{k}_title").alias(f"{k}_comment_parent") for k in ("tfidf", "ngram", "combo")])
     flat = twice.select("*", F.lit(0.0).alias("scaled_distance"), F.lit(0.0).alias("tag_score"), F.col("comment_id").alias("pos"))
-    from threadloom.operators.aggregates import min_max_scaled
-
     scaled = min_max_scaled(flat, W.FEATURES, "qid")
     return W.best_weights(scaled, GRID, 10)
+
+
+@query("v16_line_search", """SELECT setting::INTEGER AS setting, count(*) AS cases, TRUE AS reached, TRUE AS rising, TRUE AS agrees
+FROM turn_pairs, range(4) g(setting) GROUP BY 1""")
+def v16_lines(spark, sf):
+    """Seven free weights, searched line by line; every fixed setting has to be reached.
+
+    Distance is that of the text vectors, titles are the raw replies, bodies their search form. ``agrees``:
+    ranks counted by the plain metric give the DCG that the search reports.
+    """
+    cases = V.cases(spark, sf)
+    asked = cases.select("qid", search_text(F.col("question")).alias("question"))
+    spread = cases.select("qid", F.posexplode("cands").alias("pos", "title")).select(
+        "qid", F.col("pos").cast("bigint").alias("comment_id"), "title", search_text(F.col("title")).alias("comment_parent"))
+    vectorise = partial(E.idf_vectors, words=V.word_vectors(spark, sf), idf=V.idf(spark, sf), dim=V.DIM)
+    near = Q.candidate_scores(cases, vectorise, search_text).select(
+        "qid", F.col("pos").cast("bigint").alias("comment_id"), (1 - F.coalesce("score", F.lit(0.0))).alias("scaled_distance"))
+    featured = W.all_features(written(spread.join(near, ["qid", "comment_id"]), "candidates"), asked)
+    named = featured.select("*", F.lit(0.0).alias("tag_score"), F.col("comment_id").alias("pos"))
+    scored = written(min_max_scaled(named, ["scaled_distance", *W.FEATURES], "qid"), "scored")
+    found = L.searched_weights(scored, 10, [L.free_weights(g) for g in GRID])
+    total = (1 - F.col("scaled_distance")) * found.weights["distance"] + F.col("tag_score")
+    for feature in W.FEATURES:
+        total = total + F.col(feature) * found.weights[feature]
+    ranks = R.rank_of_first(scored.select("qid", "pos", F.round(total, 9).alias("score")))
+    counted = M.ranking_metrics(ranks, [10]).first()["dcg"]
+    rising = all(a < b for a, b in zip(found.path, found.path[1:]))
+    settings = W.best_weights(scored, GRID, 10).select("setting", "dcg")
+    return settings.select(
+        F.col("setting").cast("int").alias("setting"), F.lit(cases.count()).cast("bigint").alias("cases"),
+        (F.lit(found.dcg) >= F.col("dcg") - 1e-6).alias("reached"), F.lit(rising).alias("rising"),
+        F.lit(abs(counted - found.dcg) < 1e-9).alias("agrees"))

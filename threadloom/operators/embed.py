@@ -1,16 +1,20 @@
 """Text vectors as (weighted) means of word vectors.
 
-``words`` is a table (word, vec array<double>). Every text token is joined once, against vectors
-that already carry their weight; the per-text sums combine on the map side, so what is shuffled is
-one row per text and task, not one per token.
+``words`` is a table (word, vec array<double>) that holds a word once. A table whose size allows it is
+broadcast, and the per-text sums combine on the map side. A larger one is joined with the distinct words
+of blocks of texts: a vector travels once per block and word, never per token, and each block is one
+sparse by dense product.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions.text import whitespace_tokens
 from threadloom.operators.aggregates import mean_vector
@@ -38,14 +42,33 @@ def weighted_words(
     return words.join(known, "word", "left").select("word", "vec", weight.alias("weight"))
 
 
+#: Word tables up to this size are broadcast.
+BROADCAST_BYTES = 128 << 20
+#: Text per block where the word table is larger.
+BLOCK_BYTES = 8 << 20
+
+
 def mean_vectors(
-    texts: DataFrame, keys: Sequence[str], text: str, words: DataFrame, dim: int, name: str = "vec"
+    texts: DataFrame, keys: Sequence[str], text: str, words: DataFrame, dim: int, name: str = "vec",
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Mean of ``weight * vec`` over the tokens that have a vector; zeros if none has.
 
-    ``words`` comes from :func:`weighted_words`. One plain sum per dimension keeps the aggregate
-    buffer flat; it is written as SQL text because building hundreds of Column objects costs more
-    than the query.
+    ``words`` comes from :func:`weighted_words`. It is broadcast if its vectors fill at most
+    ``broadcast_bytes``, see :func:`blocked_mean_vectors` for what happens beyond.
+    """
+    if words.count() * dim * 8 > broadcast_bytes:
+        return blocked_mean_vectors(texts, keys, text, words, dim, name)
+    return joined_mean_vectors(texts, keys, text, F.broadcast(words), dim, name)
+
+
+def joined_mean_vectors(
+    texts: DataFrame, keys: Sequence[str], text: str, words: DataFrame, dim: int, name: str = "vec"
+) -> DataFrame:
+    """The means by one join per token.
+
+    One plain sum per dimension keeps the aggregate buffer flat; it is written as SQL text because
+    building hundreds of Column objects costs more than the query.
     """
     joined = text_tokens(texts, keys, text).join(words, "word", "left")
     sums = ", ".join(f"sum(get(vec, {i}) * weight)" for i in range(dim))
@@ -53,6 +76,57 @@ def mean_vectors(
     return joined.groupBy(*keys).agg(F.expr(mean).alias(name))
 
 
+def blocked_mean_vectors(
+    texts: DataFrame, keys: Sequence[str], text: str, words: DataFrame, dim: int, name: str = "vec",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The means by blocks of texts, for word tables of any size.
+
+    Texts are placed once, by a hash of their keys, in blocks of about ``block_bytes``; tokens are counted
+    where they lie. The distinct words of a block fetch their weighted vectors, so a word costs one row
+    per block however common it is. One task holds the counts and vectors of one block; a very long text
+    counts with its different words only.
+    """
+    size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0  # one number
+    blocks = int(size // block_bytes) + 1
+    parts = min(blocks, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    block = F.pmod(F.xxhash64(*keys), F.lit(blocks)).alias("_block")
+    dealt = texts.select(*keys, block, F.col(text).alias("_text")).repartition(parts, "_block")
+    counts = dealt.select("_block", *keys, F.explode_outer(whitespace_tokens(F.col("_text"))).alias("_word")).groupBy(
+        "_block", *keys, "_word"
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    weighted = words.where(F.col("vec").isNotNull()).select(
+        F.col("word").alias("_word"),
+        F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.get("vec", i) * F.col("weight"), F.lit(0.0))).alias("_vec"),
+    )
+    own = counts.select(F.col("_block").alias("_of"), F.col("_word").alias("_wanted")).distinct()
+    wanted = own.join(weighted, F.col("_wanted") == F.col("_word")).select("_of", "_wanted", "_vec")
+    schema = T.StructType([*texts.select(*keys).schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    return counts.groupBy("_block").cogroup(wanted.groupBy("_of")).applyInPandas(_block_means(list(keys), dim, name), schema)
+
+
+def _block_means(keys: list[str], dim: int, name: str):
+    def means(counts: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        number = counts.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+        firsts = np.unique(number, return_index=True)[1]
+        place = pd.Index(vectors["_wanted"]).get_indexer(counts["_word"])
+        known = np.flatnonzero(place >= 0)
+        known = known[np.argsort(number[known], kind="stable")]
+        matrix = np.stack(vectors["_vec"].to_list()) if len(vectors) else np.zeros((0, dim))
+        times = counts["_n"].to_numpy(dtype=float)
+        sums = np.zeros((len(firsts), dim))
+        for start in range(0, len(known), 16_384):
+            some = known[start:start + 16_384]
+            begins = np.flatnonzero(np.diff(number[some], prepend=-1))
+            sums[number[some[begins]]] += np.add.reduceat(matrix[place[some]] * times[some, None], begins)
+        total = np.bincount(number[known], weights=times[known], minlength=len(firsts))
+        found = counts[keys].iloc[firsts].reset_index(drop=True)
+        found[name] = list(sums / np.maximum(total, 1)[:, None])
+        return found
+
+    return means
+
+
 def average_vectors(texts: DataFrame, keys: Sequence[str], text: str, words: DataFrame, dim: int) -> DataFrame:
     """Plain mean of word vectors."""
     return mean_vectors(texts, keys, text, weighted_words(words), dim)

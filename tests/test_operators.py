@@ -122,3 +122,11 @@ def test_best_weights(spark):
     grid = [{"distance": 5.0, "tfidf": 0.0, "ngram": 0.0, "combo": 0.0}, {"distance": 0.0, "tfidf": 1.0, "ngram": 0.0, "combo": 0.0}]
     got = {r["setting"]: r["dcg"] for r in W.best_weights(spark.createDataFrame(rows, schema), grid, 5).collect()}
     assert got[1] == pytest.approx(1.0) and got[0] < 1.0
+
+
+def test_a_vocabulary_beyond_the_driver_is_an_error(spark):
+    lines = spark.createDataFrame([(["a", "b", "a", "b", "c"],)], "tokens array<string>")
+    with pytest.raises(ValueError, match="2 words of 10 dimensions"):
+        L.fit_word_vectors(lines, dim=10, driver_bytes=2 * 10 * 8 - 1)
+    model = L.fit_word_vectors(lines, dim=10, epochs=1, parts=1, driver_bytes=2 * 10 * 8)
+    assert sorted(r["word"] for r in L.word_table(model).collect()) == ["a", "b"]

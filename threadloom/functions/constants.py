@@ -115,6 +115,12 @@ PCA_COMPONENTS = 50
 MAX_DOC_SHARE = 0.9
 INVERSE_REGULARISATION = 4.0
 EVALUATION_DEPTHS = (1, 5, 10, 100, 500, 1000)
+BOOSTED_TREES = 300
+BOOSTED_DEPTH = 7
+BOOSTED_STEP = 0.1
+BOOSTED_SAMPLE = 0.8
+NETWORK_LAYERS = (128, 256, 128)
+NETWORK_ITERATIONS = 50
 
 # Common named entities unescaped without leaving the JVM; "&amp;" must come last.
 NAMED_ENTITIES = (

@@ -59,7 +59,7 @@ def search_literals(text: Column) -> Column:
     return _swap(text, C.SEARCH_REPLACEMENTS)
 
 
-_SPACED = "/(){}[]|@,;"
+_SPACED = "".join(c for c in map(chr, range(1, 0x180)) if re.fullmatch(C.SPACED_PUNCTUATION, c))
 _DELETED_LATIN = "".join(
     c for c in map(chr, range(1, 0x180)) if c not in _SPACED and re.fullmatch(C.DELETED_SYMBOLS, c)
 )

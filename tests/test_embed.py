@@ -55,3 +55,29 @@ def test_clashing_names_and_no_rows(spark, tables):
     assert E.blocked_mean_vectors(df.where("a < 0"), ["a"], "text", words, 5).count() == 0
     none = E.blocked_mean_vectors(df, ["a", "b"], "text", words.where("weight < 0"), 5)
     assert {tuple(r["vec"]) for r in none.collect()} == {(0.0,) * 5}
+
+
+def test_tasks_grow_in_number_with_the_texts(spark, tables):
+    *_, words, _ = tables
+
+    def tasks(texts):
+        rows = spark.createDataFrame([(i, "w1 w2 " * 50) for i in range(texts)], "a long, text string")
+        return E.joined_mean_vectors(rows, ["a"], "text", F.broadcast(words), 5, block_bytes=3_000).rdd.getNumPartitions()
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert tasks(10) == 8 and tasks(400) == 41
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_candidates_meet_questions_in_bounded_partitions(spark, tables, monkeypatch):
+    from threadloom.plans import answers as Q
+
+    vectors, weights, _, words, _ = tables
+    cases = spark.createDataFrame([(q, "w1 w2", ["w1 w2", "w3", ""]) for q in range(100)], "qid long, question string, cands array<string>")
+    monkeypatch.setattr(Q, "JOINED_ROWS", 10, raising=False)
+    scores = Q.candidate_scores(cases, lambda df, keys, column: E.mean_vectors(df, keys, column, words, 5))
+    assert "hashpartitioning(qid#" in scores._jdf.queryExecution().executedPlan().toString() and scores.rdd.getNumPartitions() == 31
+    found = {(r["qid"], r["pos"]): r["score"] for r in scores.collect()}
+    assert len(found) == 300 and found[7, 0] == pytest.approx(1.0) and found[7, 2] == 0.0

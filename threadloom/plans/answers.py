@@ -107,6 +107,9 @@ def answer_topic_questions(
     return found_answers(neighbours, posts)
 
 
+#: Candidates per partition where their vectors are joined with those of the questions.
+JOINED_ROWS = 32_768
+
 Vectoriser = Callable[[DataFrame, list[str], str], DataFrame]
 
 
@@ -117,13 +120,17 @@ def candidate_scores(
 
     ``cases`` is (qid, question, cands array); ``vectorise(texts, keys, column)`` is any of the text
     vector functions with its tables bound; ``clean`` is applied to each text first. Candidates are
-    placed one by one before they are cleaned, so the many of one question spread out.
+    placed one by one before they are cleaned, so the many of one question spread out. Vectors meet in
+    partitions of about ``JOINED_ROWS`` candidates, so a task sorts as many of them whatever the input.
     """
     clean = clean or (lambda text: text)
     asked = cases.select("qid", clean(F.col("question")).alias("question"))
     spread = placed(cases.select("qid", F.posexplode("cands").alias("pos", "cand")), "qid", "pos")
     offered = vectorise(spread.select("qid", "pos", clean(F.col("cand")).alias("cand")), ["qid", "pos"], "cand")
-    pairs = offered.join(vectorise(asked, ["qid"], "question").withColumnRenamed("vec", "q_vec"), "qid")
+    rows = cases.agg(F.sum(F.greatest(F.size("cands"), F.lit(0)).cast("bigint"))).first()[0] or 0  # one number
+    parts = max(int(rows // JOINED_ROWS) + 1, int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    theirs = vectorise(asked, ["qid"], "question").withColumnRenamed("vec", "q_vec")
+    pairs = offered.repartition(parts, "qid").join(theirs.repartition(parts, "qid"), "qid")
     return pairs.select("qid", "pos", F.round(cosine(F.col("q_vec"), F.col("vec")), decimals).alias("score"))
 
 

@@ -81,3 +81,28 @@ def test_candidates_meet_questions_in_bounded_partitions(spark, tables, monkeypa
     assert "hashpartitioning(qid#" in scores._jdf.queryExecution().executedPlan().toString() and scores.rdd.getNumPartitions() == 31
     found = {(r["qid"], r["pos"]): r["score"] for r in scores.collect()}
     assert len(found) == 300 and found[7, 0] == pytest.approx(1.0) and found[7, 2] == 0.0
+
+
+def test_borrowed_vectors_are_searched_once(spark, tables, monkeypatch):
+    vectors, _, _, words, df = tables
+    spare = spark.createDataFrame([("zz", [1.0, 0.0, 0.0, 0.0, 0.0]), ("unused", [0.0] * 5)], "word string, vec array<double>")
+    runs, plain = spark.sparkContext.accumulator(0), E.nearest
+
+    def counted(asked, stored, **settings):
+        touched = F.udf(lambda w: runs.add(1) or w, "string").asNondeterministic()
+        return plain(asked.withColumn("word", touched("word")), stored, **settings)
+
+    monkeypatch.setattr(E, "nearest", counted)
+    found = E.average_vectors_with_fallback(df, ["a", "b"], "text", words.select("word", "vec"), spare, 5)
+    got = {(r["a"], r["b"]): r["vec"] for r in found.collect()}
+    near = max(vectors, key=lambda w: round(vectors[w][0], 6))
+    assert got[9, "none"] == pytest.approx(vectors[near]) and runs.value == 1
+
+
+def test_least_columns():
+    import numpy as np
+
+    from threadloom.operators.neighbours import _least
+
+    values, ids = np.array([[2.0, 1.0, 1.0], [0.0, 0.0, 3.0]]), np.array([7, 9, 4])
+    assert _least(values, ids, 1).tolist() == [[2], [0]] and _least(values, ids, 2).tolist() == [[2, 1], [0, 1]]

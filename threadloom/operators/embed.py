@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from threadloom.functions.text import whitespace_tokens
 from threadloom.operators.aggregates import mean_vector
 from threadloom.operators.neighbours import nearest
+from threadloom.session import written
 
 
 def text_tokens(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
@@ -171,7 +172,7 @@ def used_words(texts: DataFrame, text: str, auxiliary: DataFrame) -> DataFrame:
 def average_vectors_with_fallback(
     texts: DataFrame, keys: Sequence[str], text: str, words: DataFrame, auxiliary: DataFrame, dim: int
 ) -> DataFrame:
-    every = with_fallback(words, used_words(texts, text, auxiliary))
+    every = written(with_fallback(words, used_words(texts, text, auxiliary)), "every")  # searched once, read often
     return mean_vectors(texts, keys, text, weighted_words(every), dim)
 
 
@@ -179,7 +180,7 @@ def idf_vectors_with_fallback(
     texts: DataFrame, keys: Sequence[str], text: str, words: DataFrame, auxiliary: DataFrame, idf: DataFrame, dim: int
 ) -> DataFrame:
     """As above with idf weights; a missing or zero idf weighs 1."""
-    every = with_fallback(words, used_words(texts, text, auxiliary))
+    every = written(with_fallback(words, used_words(texts, text, auxiliary)), "every")
     return mean_vectors(texts, keys, text, weighted_words(every, idf, unknown=1.0, zero=1.0), dim)
 
 

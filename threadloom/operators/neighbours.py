@@ -25,6 +25,15 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
+def _least(values: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
+    """Columns of the ``size`` least values of each row, in order, ties to the lower id."""
+    ascending = np.argsort(ids, kind="stable")
+    ordered = values[:, ascending]
+    if size == 1:  # the first of the least ones, without a sort
+        return ascending[ordered.argmin(1)[:, None]]
+    return ascending[np.argsort(ordered, axis=1, kind="stable")[:, :size]]
+
+
 def _distances(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Distance (or, for ``dot`` and ``cosine``, similarity) of every question to every vector.
 
@@ -149,8 +158,7 @@ def nearest(
         q_ids, v_ids = _ids(row["q_ids"]), _ids(row["v_ids"])
         gap = np.round(_distances(metric, q, v), decimals) + 0.0
         size = len(v_ids) if k is None else min(k, len(v_ids))
-        ascending = np.argsort(v_ids, kind="stable")
-        chosen = ascending[np.argsort(sign * gap[:, ascending], axis=1, kind="stable")[:, :size]]
+        chosen = _least(sign * gap, v_ids, size)
         return {
             question: np.repeat(q_ids, size),
             item: v_ids[chosen.ravel()],

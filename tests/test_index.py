@@ -80,3 +80,15 @@ def test_empty_tables(spark, clustered, stored, asked, tmp_path):
     assert X.search(asked.where("false"), stored, 5).count() == 0
     empty = X.build(clustered.where("false"), f"{tmp_path}/empty")
     assert X.search(asked, empty, 5).count() == 0 and X.coded_search(asked, empty, 5).count() == 0
+
+
+def test_own_rank_writes_no_row_for_settled_cells(spark, clustered, stored, monkeypatch):
+    kept, plain = {}, X.written
+    monkeypatch.setattr(X, "written", lambda df, name: kept.setdefault(name, plain(df, name)))
+    found = X.own_rank(clustered, stored, clustered)
+    read = found.agg({"scored": "sum"}).first()[0]
+    cells, documents = stored.blocks.groupBy("tag").count(), clustered.groupBy("tag").count()
+    every = cells.withColumnRenamed("count", "c").join(documents, "tag").selectExpr("sum(c * count)").first()[0]
+    judged = kept["judged"]
+    assert judged.count() < every and judged.where("cell is not null").agg({"size": "sum"}).first()[0] == read
+    assert judged.where("cell is null").count() == sum(r["n"] for r in stored.shelves.groupBy("tag").count().join(documents.withColumnRenamed("count", "d"), "tag").selectExpr("count * d as n").collect())

@@ -62,7 +62,7 @@ def test_tasks_grow_in_number_with_the_texts(spark, tables):
 
     def tasks(texts):
         rows = spark.createDataFrame([(i, "w1 w2 " * 50) for i in range(texts)], "a long, text string")
-        return E.joined_mean_vectors(rows, ["a"], "text", F.broadcast(words), 5, block_bytes=3_000).rdd.getNumPartitions()
+        return E.joined_mean_vectors(rows, ["a"], "text", F.broadcast(words), 5, block_texts=10).rdd.getNumPartitions()
 
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:

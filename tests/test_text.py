@@ -126,3 +126,16 @@ def test_tag_confidence(spark):
             ("a-b", [("a_b", 0.4)])]
     got = [r[0] for r in spark.createDataFrame(rows, schema).select(T.tag_confidence(F.col("tags"), F.col("predicted"))).collect()]
     assert got == [0.7, 0.0, 0.0, 0.4]
+
+
+@pytest.mark.parametrize("form", [T.search_text, T.prepared_text, T.alphanumeric_text])
+def test_a_text_is_cleaned_once(spark, form):
+    plan = spark.createDataFrame([("x",)], "x string").select(form(F.col("x")).alias("y"))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("translate(") == 1
+
+
+def test_cleaning_beyond_latin_letters(spark):
+    raw = "É\0 ſ\u0085\U0001F600x  Ж7—z <b>_</b>"
+    assert one(spark, raw, T.alphanumeric_text) == "x 7 z"
+    assert one(spark, raw, T.search_text) == "x 7z b_ b"
+    assert one(spark, None, T.alphanumeric_text) is None and one(spark, None, T.search_text) is None

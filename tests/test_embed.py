@@ -106,3 +106,11 @@ def test_least_columns():
 
     values, ids = np.array([[2.0, 1.0, 1.0], [0.0, 0.0, 3.0]]), np.array([7, 9, 4])
     assert _least(values, ids, 1).tolist() == [[2], [0]] and _least(values, ids, 2).tolist() == [[2, 1], [0, 1]]
+
+
+def test_blocks_bound_the_text_of_a_task(spark, tables):
+    *_, words, _ = tables
+    texts = spark.range(600).select(F.col("id").alias("a"), F.repeat(F.lit("w1 zz "), 1700).alias("text"))  # 6 MB
+    blocks = E.blocked_mean_vectors(texts, ["a"], "text", words, 5)
+    assert " 3)" in [line for line in blocks._jdf.queryExecution().optimizedPlan().toString().splitlines() if "pmod" in line][0]
+    assert blocks.count() == 600

@@ -139,13 +139,22 @@ def s12(spark, sf):
     return B.load_vectors(spark, path).select("tag", "comment_id", F.round(total, 6).alias("total"))
 
 
+#: Posts to a dump file: one task writes it and one batch takes it in.
+FILE_POSTS = 200_000
+
+
+def _in_files(posts, least=1):
+    """Posts dealt over dump files of bounded size, ``least`` of them or more."""
+    return posts.repartition(max(least, posts.count() // FILE_POSTS + 1), "comment_id")
+
+
 @query("s13_incremental_ingest", f"SELECT {POST} FROM posts")
 def s13(spark, sf):
     incoming, table, mark = (scratch_path(spark, n) for n in ("incoming", "posts", "checkpoint"))
     posts = V.posts(spark, sf)
-    posts.repartition(3, "comment_id").write.parquet(incoming)
+    _in_files(posts, 3).write.parquet(incoming)
     ingest_posts(spark, incoming, table, mark)
-    posts.where("parent_id is not null").coalesce(1).write.mode("append").parquet(incoming)
+    _in_files(posts.where("parent_id is not null")).write.mode("append").parquet(incoming)
     ingest_posts(spark, incoming, table, mark)
     return B.scan(spark, table).withColumn("date", F.col("date").cast("string"))
 

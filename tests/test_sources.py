@@ -122,3 +122,12 @@ def test_written_tables_live_in_the_shared_folder(spark):
     table = written(spark.range(5), "r")
     assert table.count() == 5
     assert all(shared_dir(spark) in name for name in table.inputFiles())
+
+
+def test_dump_files_hold_a_bounded_number_of_posts(spark, monkeypatch):
+    from suite import files
+
+    monkeypatch.setattr(files, "FILE_POSTS", 100)
+    posts = spark.range(950).select(F.col("id").alias("comment_id"))
+    assert files._in_files(posts).rdd.getNumPartitions() == 10
+    assert files._in_files(posts.where("comment_id < 50"), 3).rdd.getNumPartitions() == 3

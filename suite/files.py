@@ -174,7 +174,7 @@ def s13_paired(spark, sf):
     posts = _without_some_questions(spark, sf)
     waves = ["parent_id is not null and comment_id % 4 = 1", "parent_id is null and comment_id % 8 = 0 or comment_id % 4 = 2", "comment_id % 4 <> 1"]
     for wave in waves:
-        posts.where(wave).repartition(3, "comment_id").write.mode("append").parquet(incoming)
+        _in_files(posts.where(wave), 3).write.mode("append").parquet(incoming)
         ingest_paired_posts(spark, incoming, table, waiting, mark, width=1 << 8)
     return load_parted(spark, table, B.POSTS).drop("part").withColumn("date", F.col("date").cast("string"))
 

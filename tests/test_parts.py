@@ -88,3 +88,15 @@ def test_a_batch_run_again_does_no_harm_and_patience_ends(spark, folders):
         for _ in range(2):
             paired(batch, number, table, waiting, POSTS, 8, patience=2)
     assert ids(spark, table) == [1, 10, 20, 21]
+
+
+def test_a_batch_writes_few_files_to_a_folder(spark, tmp_path):
+    table, old = f"{tmp_path}/posts", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    P.create_parted(spark, table, POSTS)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as for a batch of many megabytes
+    try:
+        P.append_parted(posts(spark, [(i, None, 0) for i in range(4000)]), table, POSTS, width=250)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert ids(spark, table) == list(range(4000))
+    assert len(glob.glob(f"{table}/part=*/*.parquet")) == 16

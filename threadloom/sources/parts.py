@@ -19,6 +19,8 @@ from threadloom.session import written
 
 #: Ids of one folder of an appended table; folders of an upserted one.
 WIDTH, BUCKETS = 1 << 20, 64
+#: Neighbouring ids that one task writes.
+CHUNK = 1 << 14
 PART = "part"
 
 
@@ -40,6 +42,14 @@ def load_parted(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(T.StructType([*schema.fields, T.StructField(PART, T.LongType())])).parquet(path)
 
 
+def gathered(rows: DataFrame, key: str = "comment_id") -> DataFrame:
+    """Rows with a ``part`` placed for writing: neighbouring ids of a part in one task, a large part in many.
+
+    Otherwise every task would open a file in every folder.
+    """
+    return rows.repartition(PART, id_range(key, CHUNK))
+
+
 def touched(rows: DataFrame, part: Column) -> list[int]:
     """The parts that ``rows`` fall into."""
     return sorted(r[0] for r in rows.select(part).distinct().collect() if r[0] is not None)
@@ -61,7 +71,7 @@ def append_parted(rows: DataFrame, path: str, schema: T.StructType, key: str = "
     stored = load_parted(rows.sparkSession, path, schema)
     fresh = not_stored(rows.where(F.col(key).isNotNull()).select(*names), stored, key, id_range(key, width))
     once = one_per_key(fresh, [key], [F.asc(c) for c in names if c != key])
-    once.withColumn(PART, id_range(key, width)).write.mode("append").partitionBy(PART).parquet(path)
+    gathered(once.withColumn(PART, id_range(key, width)), key).write.mode("append").partitionBy(PART).parquet(path)
 
 
 def upsert_parted(

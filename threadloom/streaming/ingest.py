@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.session import written
-from threadloom.sources.parts import PART, WIDTH, append_parted, create_parted, id_range, load_parted, touched
+from threadloom.sources.parts import PART, WIDTH, append_parted, create_parted, gathered, id_range, load_parted, touched
 from threadloom.sources.tables import POSTS, append_new, create_table
 
 
@@ -65,7 +65,8 @@ def paired(batch: DataFrame, batch_id: int, table: str, waiting: str, schema: T.
     since = 0 if patience is None else batch_id - patience
     late = load_parted(spark, waiting, held).where(F.col(PART).isin(touched(new, id_range("parent_id", width))))
     late = late.where((F.col("batch") >= since) & (F.col("batch") < batch_id)).join(new, "parent_id", "left_semi").select(*names)
-    lone.withColumn("batch", F.lit(batch_id).cast("bigint")).withColumn(PART, id_range("parent_id", width)).write.mode("append").partitionBy("batch", PART).parquet(waiting)
+    lone = lone.withColumn("batch", F.lit(batch_id).cast("bigint")).withColumn(PART, id_range("parent_id", width))
+    gathered(lone).write.mode("append").partitionBy("batch", PART).parquet(waiting)
     append_parted(written(questions.unionByName(found).unionByName(late), "paired"), table, schema, width=width)
 
 

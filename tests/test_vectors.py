@@ -223,3 +223,21 @@ def test_features_with_more_candidates_than_directions(spark):
     vocabulary = ["sort", "list", "dict", "file", "open", "array", "join", "merge", "text", "map"]
     many = [" ".join(rng.choice(vocabulary, size=5)) + f" {i}" for i in range(14)]
     check_features(spark, {1: (many, "sort the list"), 2: (many[:4], "open file")}, 6)
+
+
+def test_features_are_counted_in_one_task_or_in_rows_alike(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = list("aB é\U0001f600ß  \t")
+    sets = [(q, i, "".join(rng.choice(letters, size=rng.integers(0, 60))) if (q + i) % 7 else None) for q in range(12) for i in range(rng.integers(1, 9))]
+    found = spark.createDataFrame(sets, "qid bigint, comment_id bigint, title string")
+    found = found.unionByName(found.where("qid = 3"))  # rows of one candidate count together
+    asked = spark.createDataFrame([(q, "".join(rng.choice(letters, size=20))) for q in range(1, 13)], "qid bigint, question string")
+
+    def values(**limits):
+        return sorted((r["qid"], r["comment_id"], *[pytest.approx(v, abs=1e-9) for v in r[2:]]) for r in W.text_features(found, asked, "title", **limits).collect())
+
+    in_rows = [tuple(getattr(v, "expected", v) for v in r) for r in values(text_bytes=-1)]
+    assert len(in_rows) == found.count()
+    mixed = values(text_bytes=200)
+    monkeypatch.setattr(W, "_counted_in_rows", None)  # the texts of every question fit one task: no row per gram
+    assert in_rows == values() == [tuple(getattr(v, "expected", v) for v in r) for r in mixed]

@@ -92,3 +92,12 @@ def test_own_rank_writes_no_row_for_settled_cells(spark, clustered, stored, monk
     judged = kept["judged"]
     assert judged.count() < every and judged.where("cell is not null").agg({"size": "sum"}).first()[0] == read
     assert judged.where("cell is null").count() == sum(r["n"] for r in stored.shelves.groupBy("tag").count().join(documents.withColumnRenamed("count", "d"), "tag").selectExpr("count * d as n").collect())
+
+
+def test_a_question_meets_the_cells_of_a_bundle_at_once(stored, asked, monkeypatch):
+    real = asked.where("tag in ('a', 'b') and qid < 90000")
+    opened = X.open_cells(real, stored, 3000).cache()
+    assert X._scanned(opened, real, stored, 5, "qid", 6).count() < opened.count()  # five rows a bundle of 16 cells
+    want = rows(X.search(real, stored, 10))
+    monkeypatch.setattr(X, "BUNDLE", 1)
+    assert rows(X.search(real, stored, 10)) == want

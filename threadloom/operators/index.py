@@ -11,7 +11,7 @@ candidates only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,14 +21,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.operators.neighbours import _by_block, _distances, _ids, _matrix, _paired, _unit, nearest, packed
+from threadloom.operators.neighbours import _ARROW, _by_block, _distances, _ids, _least, _matrix, _paired, _unit, nearest, packed
 from threadloom.operators.ranking import top_k
-from threadloom.session import written
+from threadloom.session import placed, written
 
 ROWS = 512
 #: Children of a cell that is split, and vectors of it that train their centres.
 FAN, TRAIN = 64, 4096
 LEVELS = 4
+#: Cells of a group that meet its questions in one task.
+BUNDLE = 16
 #: Distances are ranked after rounding, so bounds within this much of each other are equal.
 SLACK = 2e-6
 
@@ -211,29 +213,90 @@ def _spot(group: str) -> Column:
     return F.concat("cell", F.lit("|"), F.col(group).cast("string"))
 
 
-def _scanned(opened: DataFrame, questions: DataFrame, index: VectorIndex, k: int, question: str, decimals: int) -> DataFrame:
-    """(question, group, item, distances): the ``k`` nearest of each opened cell."""
+def _in_bundles(
+    opened: DataFrame, questions: DataFrame, index: VectorIndex, columns: list[str], k: int, question: str,
+    compared: Callable[[np.ndarray, dict], np.ndarray],
+) -> DataFrame:
+    """(question, group, cell, item, distances): the ``k`` least of ``compared`` over the opened cells of each bundle.
+
+    ``BUNDLE`` cells of a group lie in one task, followed by the questions that opened any of them: a
+    question's vector travels once per bundle, and ``k`` rows come out per bundle rather than per cell. A
+    task holds the cells of one bundle; questions pass as a stream. ``compared`` gets questions and the
+    ``columns`` of a cell.
+    """
     group, item = index.group, index.item
     kinds = {f.name: f.dataType for f in questions.schema.fields}
     ids = index.blocks.schema["v_ids"].dataType.elementType
+    bundles = index.shelves.select(group, F.size("cells").alias("n")).groupBy(group).agg(F.ceil(F.sum("n") / BUNDLE).alias("_bundles"))
+    bundle = F.concat(F.pmod(F.xxhash64("cell"), F.col("_bundles")).cast("string"), F.lit("|"), F.col(group).cast("string")).alias("_bundle")
+    cells = opened.join(bundles, group).select(question, group, "cell", bundle)
+    asked = cells.groupBy(question, group, "_bundle").agg(F.collect_list("cell").alias("q_cells")).join(questions.select(question, group, "vec"), [question, group])
+    wanted = opened.select(group, "cell").distinct()
+    stored = index.blocks.join(wanted, [group, "cell"], "left_semi").join(bundles, group).select(bundle, "cell", "v_ids", *columns)
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in [(question, kinds[question]), (group, kinds[group]), ("vec", kinds["vec"]), ("q_cells", "array<string>")]]
+    held = stored.select("_bundle", F.lit(False).alias("is_asked"), "cell", "v_ids", *columns, *nothing)
+    empty = [F.lit(None).cast(index.blocks.schema[n].dataType).alias(n) for n in ("cell", "v_ids", *columns)]
+    asking = asked.select("_bundle", F.lit(True).alias("is_asked"), *empty, question, group, "vec", "q_cells")
     schema = T.StructType([
-        T.StructField("_spot", T.StringType()), T.StructField(question, kinds[question]), T.StructField(item, ids), T.StructField("distances", T.DoubleType()),
+        T.StructField(question, kinds[question]), T.StructField(group, kinds[group]), T.StructField("cell", T.StringType()),
+        T.StructField(item, ids), T.StructField("distances", T.DoubleType()),
     ])
+    target = pa.schema([(f.name, _ARROW[type(f.dataType)]) for f in schema.fields])
+
+    def found(rows: pa.RecordBatch, cells: dict[str, dict]) -> pa.RecordBatch | None:
+        vectors = np.asarray(rows["vec"].flatten(), dtype=np.float64).reshape(rows.num_rows, -1)
+        lists = rows["q_cells"]
+        of = np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy()))
+        names = np.asarray(lists.flatten().to_pylist(), dtype=object)
+        parts = []
+        for name in dict.fromkeys(names.tolist()):
+            cell, at = cells[name], of[names == name]
+            gap = compared(vectors[at], cell)
+            chosen = _least(gap, cell["v_ids"], min(k, len(cell["v_ids"])))
+            size = chosen.shape[1]
+            parts.append((np.repeat(at, size), np.full(chosen.size, name, dtype=object), cell["v_ids"][chosen.ravel()], np.take_along_axis(gap, chosen, axis=1).ravel()))
+        if not parts:
+            return None
+        at, name, own, gap = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((own, gap, at))
+        at = at[order]
+        first = np.searchsorted(at, at, side="left")
+        order, at = order[np.arange(len(at)) - first < k], at[np.arange(len(at)) - first < k]
+        values = [rows[question].take(pa.array(at)), rows[group].take(pa.array(at)), pa.array(name[order]), pa.array(own[order].tolist()), pa.array(gap[order])]
+        return pa.RecordBatch.from_arrays([v.cast(f.type) for v, f in zip(values, target)], schema=target)
 
-    def best(q: np.ndarray, v: np.ndarray, row: dict) -> dict:
-        v_ids = _ids(row["v_ids"])
-        gap = np.round(_distances("angular", q, v), decimals) + 0.0
-        size = min(k, len(v_ids))
-        ascending = np.argsort(v_ids, kind="stable")
-        chosen = ascending[np.argsort(gap[:, ascending], axis=1, kind="stable")[:, :size]]
-        return {question: np.repeat(_ids(row["q_ids"]), size), item: v_ids[chosen.ravel()], "distances": np.take_along_axis(gap, chosen, axis=1).ravel()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, cells = None, {}
+        for batch in batches:
+            names, is_asked = batch["_bundle"].to_pylist(), batch["is_asked"].to_pylist()
+            low = 0
+            while low < batch.num_rows:
+                if names[low] != current:
+                    current, cells = names[low], {}
+                if not is_asked[low]:
+                    row = {n: batch[n][low] for n in ("v_ids", *columns)}
+                    cells[batch["cell"][low].as_py()] = row | {"v_ids": _ids(row["v_ids"])}
+                    low += 1
+                    continue
+                high = low
+                while high < batch.num_rows and high - low < ROWS and names[high] == current and is_asked[high]:
+                    high += 1
+                out = found(batch.slice(low, high - low), cells)
+                if out is not None:
+                    yield out
+                low = high
+
+    return placed(held.unionByName(asking), "_bundle").sortWithinPartitions("_bundle", "is_asked").mapInArrow(run, schema)
 
-    asked = opened.select(question, group, "cell").join(questions.select(question, group, "vec"), [question, group])
-    packs = packed(asked.withColumn("_spot", _spot(group)), "_spot", question, "vec", "q").drop("_block")
-    stored = index.blocks.withColumn("_spot", _spot(group)).select("_spot", "v_ids", "v_vecs")
-    found = _by_block(stored.join(packs, "_spot"), "_spot", schema, best)
-    names = opened.select(_spot(group).alias("_spot"), group).distinct()
-    return found.join(names, "_spot").select(question, group, item, "distances")
+
+def _scanned(opened: DataFrame, questions: DataFrame, index: VectorIndex, k: int, question: str, decimals: int) -> DataFrame:
+    """(question, group, item, distances): the ``k`` nearest of the opened cells of each bundle."""
+
+    def compared(q: np.ndarray, cell: dict) -> np.ndarray:
+        return np.round(_distances("angular", q, _matrix(cell["v_vecs"])), decimals) + 0.0
+
+    found = _in_bundles(opened, questions, index, ["v_vecs"], k, question, compared)
+    return found.select(question, index.group, index.item, "distances")
 
 
 def search(questions: DataFrame, index: VectorIndex, k: int, question: str = "qid", decimals: int = 6) -> DataFrame:
@@ -265,32 +328,15 @@ def coded_search(
     item, distances, rank, scored) with k rows wherever the group has k; ``scored`` counts the vectors read.
     """
     group, item = index.group, index.item
-    kinds = {f.name: f.dataType for f in questions.schema.fields}
-    ids = index.blocks.schema["v_ids"].dataType.elementType
-    fields = [T.StructField("_spot", T.StringType()), T.StructField(question, kinds[question]), T.StructField(item, ids), T.StructField("distances", T.DoubleType())]
     opened = written(open_cells(questions, index, k, question), "opened")
-    asked = opened.select(question, group, "cell").join(questions.select(question, group, "vec"), [question, group])
-    packs = packed(asked.withColumn("_spot", _spot(group)), "_spot", question, "vec", "q").drop("_block")
-    codes = index.blocks.withColumn("_spot", _spot(group)).select("_spot", "v_ids", "centre", "codes", "scale")
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = pa.schema([("_spot", pa.string()), (question, pa.int64()), (item, pa.int64()), ("distances", pa.float64())])
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i] for name in batch.schema.names}
-                q, v_ids = _matrix(row["q_vecs"]), _ids(row["v_ids"])
-                v = np.frombuffer(row["codes"].as_py(), np.int8).reshape(len(v_ids), -1) * row["scale"].as_py() + np.array(row["centre"].as_py())
-                gap = np.sqrt(np.maximum(2.0 - 2.0 * (_unit(q) @ v.T), 0.0))
-                size = min(refine * k, len(v_ids))
-                ascending = np.argsort(v_ids, kind="stable")
-                chosen = ascending[np.argsort(gap[:, ascending], axis=1, kind="stable")[:, :size]]
-                columns = [[row["_spot"].as_py()] * (len(q) * size), np.repeat(_ids(row["q_ids"]), size), v_ids[chosen.ravel()], np.take_along_axis(gap, chosen, axis=1).ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target)], schema=target)
-
-    coded = codes.join(packs, "_spot").mapInArrow(near, T.StructType(fields))
-    names = opened.select(_spot(group).alias("_spot"), group, "cell").distinct()
+    def compared(q: np.ndarray, cell: dict) -> np.ndarray:
+        way = np.frombuffer(cell["codes"].as_py(), np.int8).reshape(len(cell["v_ids"]), -1) * cell["scale"].as_py()
+        return np.sqrt(np.maximum(2.0 - 2.0 * (_unit(q) @ (way + np.array(cell["centre"].as_py())).T), 0.0))
+
+    coded = _in_bundles(opened, questions, index, ["centre", "codes", "scale"], refine * k, question, compared).withColumn("_spot", _spot(group))
     sizes = index.shelves.select(group, F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n")).groupBy(group).agg(F.sum("n").alias("_n"))
-    ranked = top_k(coded.join(names, "_spot"), [question, group], [F.asc("distances"), F.asc(item)], refine * k, "_at").join(sizes, group)
+    ranked = top_k(coded, [question, group], [F.asc("distances"), F.asc(item)], refine * k, "_at").join(sizes, group)
     few = written(ranked.where(F.col("_at") <= F.greatest(F.lit(k), F.floor(F.col("_n") * share))).select(question, group, "cell", "_spot", item), "few")
     wanted = few.select("_spot", question, group, item).join(questions.select(question, group, "vec"), [question, group])
     asked_ids = few.groupBy("_spot").agg(F.collect_set(item).alias("_wanted"))  # at most a cell

@@ -114,3 +114,18 @@ def test_blocks_bound_the_text_of_a_task(spark, tables):
     blocks = E.blocked_mean_vectors(texts, ["a"], "text", words, 5)
     assert " 3)" in [line for line in blocks._jdf.queryExecution().optimizedPlan().toString().splitlines() if "pmod" in line][0]
     assert blocks.count() == 600
+
+
+def test_texts_are_worked_out_once_where_the_word_table_is_large(spark):
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def cleaned(value):
+        worked.add(1)
+        return value.lower()
+
+    texts = spark.createDataFrame([(i, f"A b W{i % 7}") for i in range(300)], "a long, raw string").select("a", cleaned.asNondeterministic()("raw").alias("text"))
+    words = E.weighted_words(spark.createDataFrame([(w, [1.0, float(i)]) for i, w in enumerate(["a", "b", "w3"])], "word string, vec array<double>"))
+    found = {r["a"]: r["vec"] for r in E.mean_vectors(texts, ["a"], "text", words, 2, broadcast_bytes=0).collect()}
+    assert len(found) == 300 and found[3] == [1.0, 1.0] and found[4] == [1.0, 0.5]
+    assert worked.value == 300

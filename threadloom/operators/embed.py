@@ -58,10 +58,11 @@ def mean_vectors(
     """Mean of ``weight * vec`` over the tokens that have a vector; zeros if none has.
 
     ``words`` comes from :func:`weighted_words`. It is broadcast if its vectors fill at most
-    ``broadcast_bytes``, see :func:`blocked_mean_vectors` for what happens beyond.
+    ``broadcast_bytes``, see :func:`blocked_mean_vectors` for what happens beyond: that reads the texts
+    several times, so they are worked out once and stored.
     """
     if words.count() * dim * 8 > broadcast_bytes:
-        return blocked_mean_vectors(texts, keys, text, words, dim, name)
+        return blocked_mean_vectors(written(texts.select(*keys, text), "texts"), keys, text, words, dim, name)
     return joined_mean_vectors(texts, keys, text, F.broadcast(words), dim, name)
 
 

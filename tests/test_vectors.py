@@ -241,3 +241,21 @@ def test_features_are_counted_in_one_task_or_in_rows_alike(spark, monkeypatch):
     mixed = values(text_bytes=200)
     monkeypatch.setattr(W, "_counted_in_rows", None)  # the texts of every question fit one task: no row per gram
     assert in_rows == values() == [tuple(getattr(v, "expected", v) for v in r) for r in mixed]
+
+
+def test_features_of_a_question_are_worked_out_once(spark):
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def raised(value):
+        worked.add(1)
+        return value
+
+    rows = [(q, i, f"sort a list {i} of {q}") for q in range(5) for i in range(4)]
+    found = spark.createDataFrame(rows, "qid bigint, comment_id bigint, raw string")
+    asked = spark.createDataFrame([(q, "sort list") for q in range(5)], "qid bigint, question string")
+    features = W.text_features(found.select("qid", "comment_id", raised.asNondeterministic()("raw").alias("title")), asked, "title")
+    before = worked.value
+    assert features.count() == features.agg(F.count("ngram_title")).first()[0] == 20
+    assert features.join(features.groupBy("qid").agg(F.max("combo_title")), "qid").count() == 20
+    assert worked.value == before

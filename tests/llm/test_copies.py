@@ -42,6 +42,24 @@ def test_links_equal_all_pairs(spark, segments):
     assert len(found) == len(want) and {frozenset((r["a"], r["b"])) for r in found} == want
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_fingerprints_stay_off_the_driver(spark):
+    nodes = written(spark.range(20_000).select(F.xxhash64("id").alias("fp")), "fps").groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    assert "BroadcastHashJoin" not in _plan(simhash.links(nodes.select("fp")))
+
+
+def test_rounds_over_many_edges_are_sorted(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(components, "written", lambda df, name: plans.append(_plan(df)) or written(df, name))
+    edges = spark.range(1, components.SORTED_EDGES + 10).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))
+    roots = components.smallest_reachable(edges)
+    assert roots.where("root = 0").count() == components.SORTED_EDGES + 10
+    assert len(plans) > 1 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_near_duplicates_equal_brute_force(spark, odd_docs, no_docs):
     rng = random.Random(1)
     base = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(50)) for _ in range(80)) for _ in range(6)]

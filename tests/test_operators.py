@@ -3,8 +3,10 @@
 import math
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from suite import jobs
 from threadloom.operators import aggregates as A
 from threadloom.operators import maintenance as U
 from threadloom.operators import metrics as M
@@ -99,6 +101,20 @@ def test_classifier_beats_the_majority_class(spark):
     assert first["predicted"][0]["tag"] in names
 
 
+def test_models_learn_from_every_training_row(spark, tmp_path):
+    docs = spark.range(240_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), (F.col("id") / 3).cast("int")).alias("text"), F.lit("en").alias("lang"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    ready, _, features = jobs._labelled(spark, str(tmp_path))
+    train = ready.where("not is_test").join(docs.select("doc_id", "text"), "doc_id")
+    assert train.count() > 200_000 and jobs._train(ready).count() == train.count()
+    assert len(features.stages[0].vocabulary) == train.groupBy("text").count().where("count >= 2").count()
+
+
+def test_classes_are_trained_one_by_one_over_many_terms(spark):
+    sizes = {n: L._at_once(spark.createDataFrame([(Vectors.sparse(n, [0], [1.0]),)], ["features"])) for n in (10, 300_000, 3_000_000)}
+    assert sizes == {10: 4, 300_000: 2, 3_000_000: 1}
+
+
 def test_answer_questions_end_to_end(spark):
     posts = spark.createDataFrame(
         [(4, None, "how to sort a list", "sorting lists", 5, "python-list"), (5, 4, "use sorted", None, 3, None), (6, 4, "use sort", None, 9, None),

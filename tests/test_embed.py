@@ -1,5 +1,6 @@
 """Text vectors by blocks beside the plain join and plain Python."""
 
+import math
 import random
 
 import pytest
@@ -99,6 +100,31 @@ def test_borrowed_vectors_are_searched_once(spark, tables, monkeypatch):
     assert got[9, "none"] == pytest.approx(vectors[near]) and runs.value == 1
 
 
+def test_fallback_stores_used_words_only(spark, tables, monkeypatch):
+    vectors, _, _, words, _ = tables
+    spare = spark.createDataFrame([("zz", [1.0, 0.0, 0.0, 0.0, 0.0]), ("unused", [0.0] * 5)], "word string, vec array<double>")
+    kept, plain = {}, E.written
+    monkeypatch.setattr(E, "written", lambda df, name: kept.setdefault(name, plain(df, name)))
+    texts = spark.createDataFrame([(1, "w1 w2 zz"), (2, "nothing known")], "a long, text string")
+    found = {r["a"]: r["vec"] for r in E.average_vectors_with_fallback(texts, ["a"], "text", words.select("word", "vec"), spare, 5).collect()}
+    assert {r["word"] for r in kept["every"].collect()} == {"w1", "w2", "zz"}
+    near = max(vectors, key=lambda w: round(vectors[w][0], 6))
+    assert found == {1: pytest.approx([sum(x) / 3 for x in zip(vectors["w1"], vectors["w2"], vectors[near])]), 2: [0.0] * 5}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_repeated_blocks_are_not_broadcast(spark, few):
+    from threadloom.operators import neighbours as N
+
+    asked = spark.range(9).selectExpr("id AS qid", "array(cos(id), sin(id)) AS vec")
+    stored = spark.range(3000).selectExpr("id AS comment_id", "array(cos(id * 7), sin(id * 7)) AS vec")
+    found = N.nearest(asked, stored, 1, "dot", few=few)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert few == ("strategy=broadcast" in plan) and few != ("strategy=merge" in plan)
+    want = {q: max(range(3000), key=lambda i: (round(math.cos(q) * math.cos(7 * i) + math.sin(q) * math.sin(7 * i), 6), -i)) for q in range(9)}
+    assert {r["qid"]: r["comment_id"] for r in found.collect()} == want
+
+
 def test_least_columns():
     import numpy as np
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from threadloom.functions.text import whitespace_tokens
 from threadloom.operators.aggregates import mean_vector
-from threadloom.operators.neighbours import nearest
+from threadloom.operators.neighbours import FEW_QUESTIONS, nearest
 from threadloom.session import written
 
 
@@ -146,39 +146,48 @@ def idf_vectors(
     return mean_vectors(texts, keys, text, weighted_words(words, idf), dim)
 
 
-def with_fallback(words: DataFrame, auxiliary: DataFrame, decimals: int = 6) -> DataFrame:
-    """Known words plus, for unknown words of an auxiliary table, the vector of the nearest known one.
+def borrowed_vectors(words: DataFrame, auxiliary: DataFrame, decimals: int = 6) -> DataFrame:
+    """(word, vec): for each unknown word of an auxiliary table the vector of the nearest known one.
 
     Nearest means the largest dot product, the lower word on ties. (The original took the wrong end
     of its sorted list here; this is what it was meant to do.) Pass only the auxiliary words that
     the texts use.
     """
-    unknown = auxiliary.join(words.select("word"), "word", "left_anti")
+    unknown = written(auxiliary.join(words.select("word"), "word", "left_anti").select("word", "vec"), "unknown")
     match = nearest(
-        unknown.select("word", "vec"), words.select(F.col("word").alias("known"), "vec"),
-        k=1, metric="dot", question="word", item="known", decimals=decimals,
+        unknown, words.select(F.col("word").alias("known"), "vec"), k=1, metric="dot", question="word", item="known",
+        decimals=decimals, few=unknown.count() <= FEW_QUESTIONS,
     )
     borrowed = match.select("word", "known").join(words.select(F.col("word").alias("known"), "vec"), "known")
-    return words.select("word", "vec").unionByName(borrowed.select("word", "vec"))
+    return borrowed.select("word", "vec")
+
+
+def with_fallback(words: DataFrame, auxiliary: DataFrame, decimals: int = 6) -> DataFrame:
+    """Known words plus the borrowed vectors of unknown ones."""
+    return words.select("word", "vec").unionByName(borrowed_vectors(words, auxiliary, decimals))
+
 
+def _every_used(texts: DataFrame, text: str, words: DataFrame, auxiliary: DataFrame) -> DataFrame:
+    """Stored (word, vec) of the words that the texts use, known or borrowed: searched once, read often.
 
-def used_words(texts: DataFrame, text: str, auxiliary: DataFrame) -> DataFrame:
-    """Auxiliary words that occur in the texts."""
-    return auxiliary.join(text_tokens(texts, [], text).distinct(), "word", "left_semi")
+    The search is over all known words; those that no text uses have no part in the means.
+    """
+    used = written(text_tokens(texts, [], text).where(F.col("word").isNotNull()).distinct(), "used")
+    own = words.join(used, "word", "left_semi").select("word", "vec")
+    return written(own.unionByName(borrowed_vectors(words, auxiliary.join(used, "word", "left_semi"))), "every")
 
 
 def average_vectors_with_fallback(
     texts: DataFrame, keys: Sequence[str], text: str, words: DataFrame, auxiliary: DataFrame, dim: int
 ) -> DataFrame:
-    every = written(with_fallback(words, used_words(texts, text, auxiliary)), "every")  # searched once, read often
-    return mean_vectors(texts, keys, text, weighted_words(every), dim)
+    return mean_vectors(texts, keys, text, weighted_words(_every_used(texts, text, words, auxiliary)), dim)
 
 
 def idf_vectors_with_fallback(
     texts: DataFrame, keys: Sequence[str], text: str, words: DataFrame, auxiliary: DataFrame, idf: DataFrame, dim: int
 ) -> DataFrame:
     """As above with idf weights; a missing or zero idf weighs 1."""
-    every = written(with_fallback(words, used_words(texts, text, auxiliary)), "every")
+    every = _every_used(texts, text, words, auxiliary)
     return mean_vectors(texts, keys, text, weighted_words(every, idf, unknown=1.0, zero=1.0), dim)
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from threadloom.operators.ranking import top_k
 
 BLOCK_ROWS = 512
+#: Questions whose blocks may be broadcast: 4 MB at 128 dimensions.
+FEW_QUESTIONS = 4096
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -80,11 +82,12 @@ def _paired(questions: DataFrame, vectors: DataFrame, counts: DataFrame, group:
     """Every question block next to every vector block of its group.
 
     The join key is (group, vector block): question blocks repeat once per block of their group, so a
-    hot group has as many keys as blocks.
+    hot group has as many keys as blocks. Spark sizes the repeated blocks as if they stood there once and
+    would broadcast them by that size, so the join is sorted.
     """
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block")
     repeated = questions.drop("_block").join(counts, group).select(*[c for c in questions.columns if c != "_block"], copies)
-    return vectors.join(repeated, [group, "_block"]).drop("_block")
+    return vectors.join(repeated.hint("merge"), [group, "_block"]).drop("_block")
 
 
 def _of_asked(questions: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
@@ -135,11 +138,13 @@ def nearest(
     group: str | None = None,
     vec: str = "vec",
     decimals: int = 6,
+    few: bool = False,
 ) -> DataFrame:
     """The ``k`` nearest vectors of each question within each of its groups; all of them for ``k=None``.
 
     ``questions`` is (question, [group], vec), ``vectors`` is (item, [group], vec). Distances are
-    rounded before they are ranked, ties go to the lower item. Without a group there is one.
+    rounded before they are ranked, ties go to the lower item. Without a group there is one. ``few`` says
+    that there are no more than ``FEW_QUESTIONS``, whose blocks then go to every task as they are.
     """
     key = group or "_all"
     if group is None:
@@ -168,7 +173,8 @@ def nearest(
     if group is not None:
         vectors = _of_asked(questions, vectors, key)
     counts = _block_counts(vectors, key)
-    pairs = _paired(packed(questions, key, question, vec, "q"), packed(vectors, key, item, vec, "v"), counts, key)
+    asked, stored = packed(questions, key, question, vec, "q"), packed(vectors, key, item, vec, "v")
+    pairs = stored.join(F.broadcast(asked.drop("_block")), key).drop("_block") if few else _paired(asked, stored, counts, key)
     scored = _by_block(pairs, key, schema, best)
     if group is None:
         scored = scored.drop(key)
